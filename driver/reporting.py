@@ -1 +1,209 @@
+"""Reporting views over the project 360 table."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from driver import views
+from driver.lifecycle import rounded
+from driver.registry import query
+from driver.risk import BASE, DETECTORS, cost_flags, detectors, duplicate_flags
+from worklens.plans import views as reports
+
+_TEXT_DATES = ("recommended_date", "sanction_date", "completion_date")
+_MONEY = ("sanction_amount", "recommended_amount", "amount_disbursed", "fund_disbursed_amount")
+
+
+def _with_work(df: DataFrame) -> DataFrame:
+    return df.withColumn("work", F.concat("project_id", F.lit("-"), "work_type"))
+
+
+def _as_text(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.date_format(c, "dd-MMM-yyyy") for c in _TEXT_DATES if c in df.columns})
+
+
+def project_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Project 360 over all seven sources."""
+    anomalies = (
+        cost_flags(spark, sf_dir)
+        .where("anomaly_score > 0.1")
+        .select(
+            "project_id",
+            "cost_anomaly_flag",
+            F.col("anomaly_score").cast("decimal(12,6)").alias("cost_anomaly_score"),
+            F.col("anomaly_reason").alias("cost_anomaly_reason"),
+            F.lit("True").alias("cost_anomaly_available"),
+        )
+    )
+    merged = detectors(spark, sf_dir).withColumn("cost_anomaly_score", F.col("cost_anomaly_score").cast("decimal(12,6)"))
+    return reports.project_360(
+        {
+            "recommended": _as_text(_with_work(views.recommended(spark, sf_dir))),
+            "sanctioned": _as_text(_with_work(views.sanctioned(spark, sf_dir))),
+            "completed": _as_text(_with_work(views.completed(spark, sf_dir))),
+            "expenditure": views.bare_payments(spark, sf_dir),
+            "merged": merged,
+            "duplicates": duplicate_flags(spark, sf_dir).where("potential_duplicate_flag"),
+            "anomalies": anomalies,
+        }
+    )
+
+
+VIEW = {
+    **DETECTORS,
+    "sanc": "SELECT * FROM works WHERE stage <> 'P'",
+    "comp": "SELECT w.*, c.completion_date, c.amount_disbursed FROM works w JOIN completions c USING (project_id)",
+    "dups": "SELECT * FROM dup WHERE potential_duplicate_flag = 1",
+    "anom": "SELECT * FROM cost WHERE cost_anomaly_score > 0.1",
+    "view360": """
+        SELECT r.project_id, r.work_category, r.project_id || '-' || r.work_type AS work, r.state, r.ida, r.mp_name, r.constituency,
+               r.work_description, strftime(r.recommended_date, '%d-%b-%Y') AS recommended_date,
+               strftime(r.sanction_date, '%d-%b-%Y') AS sanction_date,
+               coalesce(s.sanction_amount, r.recommended_amount) AS sanction_amount, r.recommended_amount,
+               coalesce(s.work_status, '') AS work_status, coalesce(strftime(c.completion_date, '%d-%b-%Y'), '') AS completion_date,
+               coalesce(c.amount_disbursed, 0) AS amount_disbursed, coalesce(t.total_expenditure, 0) AS fund_disbursed_amount,
+               CASE WHEN d.project_id IS NULL THEN '' WHEN d.exact_duplicate_flag = 1 THEN 'true' ELSE 'false' END AS exact_duplicate_flag,
+               CASE WHEN d.project_id IS NULL THEN '' ELSE 'true' END AS potential_duplicate_flag,
+               coalesce(d.duplicate_reason, '') AS duplicate_reason, coalesce(d.similar_project_id, '') AS similar_project_id,
+               coalesce(CAST(a.cost_anomaly_flag AS VARCHAR), CAST(m.cost_anomaly_flag AS VARCHAR), '') AS cost_anomaly_flag,
+               coalesce(CAST(CAST(coalesce(a.cost_anomaly_score, m.cost_anomaly_score) AS DECIMAL(12,6)) AS VARCHAR), '') AS cost_anomaly_score,
+               coalesce(a.cost_anomaly_reason, m.cost_anomaly_reason, '') AS cost_anomaly_reason,
+               CASE WHEN a.project_id IS NOT NULL THEN 'True' WHEN m.cost_anomaly_available = 1 THEN 'true' ELSE 'false' END AS cost_anomaly_available
+        FROM works r LEFT JOIN sanc s USING (project_id) LEFT JOIN comp c USING (project_id) LEFT JOIN totals t USING (project_id)
+             LEFT JOIN dups d ON r.project_id = d.project_id LEFT JOIN anom a ON r.project_id = a.project_id
+             LEFT JOIN detectors m ON r.project_id = m.project_id""",
+    "flagged": """SELECT *, cost_anomaly_flag = '1' AS is_anomaly, exact_duplicate_flag = 'true' AS is_exact,
+        potential_duplicate_flag = 'true' AS is_potential FROM view360""",
+}
+
+
+def _sql(body: str) -> str:
+    return views.with_views(*BASE, extra=VIEW, body=body)
+
+
+_ROUNDED = ", ".join(f"round({c}, 4) AS {c}" for c in _MONEY)
+
+
+@query(_sql(f"SELECT * REPLACE ({_ROUNDED}) FROM view360"))
+def project_360(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(project_view(spark, sf_dir), *_MONEY)
+
+
+@query(
+    _sql(
+        """
+        SELECT count(*) AS total_projects, count(*) FILTER (WHERE completion_date <> '') AS completed_projects,
+               round(sum(sanction_amount), 2) AS total_sanctioned,
+               round(sum(amount_disbursed + fund_disbursed_amount), 2) AS total_disbursed,
+               count(*) FILTER (WHERE is_anomaly) AS anomalies, count(*) FILTER (WHERE is_exact) AS exact_duplicates,
+               count(*) FILTER (WHERE is_potential) AS potential_duplicates,
+               count(*) FILTER (WHERE is_exact) + count(*) FILTER (WHERE is_potential) AS duplicates,
+               count(*) FILTER (WHERE is_exact OR is_potential) AS duplicate_projects,
+               count(*) FILTER (WHERE is_anomaly OR is_exact OR is_potential) AS high_risk_projects
+        FROM flagged"""
+    )
+)
+def kpi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(reports.key_figures(project_view(spark, sf_dir)), "total_sanctioned", "total_disbursed", digits=2)
+
+
+@query(
+    _sql(
+        """
+        SELECT 'Cost anomaly' AS label, count(*) FILTER (WHERE is_anomaly) AS value FROM flagged
+        UNION ALL SELECT 'Potential duplicate', count(*) FILTER (WHERE is_potential) FROM flagged
+        UNION ALL SELECT 'Exact duplicate', count(*) FILTER (WHERE is_exact) FROM flagged"""
+    )
+)
+def risk_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.risk_overview(project_view(spark, sf_dir))
+
+
+@query(_sql("SELECT state AS label, count(*) AS value FROM view360 GROUP BY 1"))
+def state_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.state_counts(project_view(spark, sf_dir))
+
+
+@query(_sql("SELECT state AS label, count(*) AS value FROM view360 GROUP BY 1 ORDER BY value DESC, label LIMIT 6"))
+def top_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.leading(reports.state_counts(project_view(spark, sf_dir)))
+
+
+@query(_sql("SELECT CASE WHEN work_status = '' THEN 'Unspecified' ELSE work_status END AS label, count(*) AS value FROM view360 GROUP BY 1"))
+def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.status_counts(project_view(spark, sf_dir))
+
+
+_LABEL = """CASE WHEN is_anomaly AND (is_exact OR is_potential) THEN 'High risk' WHEN is_anomaly THEN 'Cost anomaly'
+    WHEN is_exact THEN 'Exact duplicate' WHEN is_potential THEN 'Potential duplicate' ELSE 'Normal' END"""
+
+
+@query(
+    _sql(
+        f"""SELECT project_id, state, round(sanction_amount, 4) AS sanction_amount, {_LABEL} AS risk_label
+            FROM flagged ORDER BY flagged.sanction_amount DESC, project_id LIMIT 6"""
+    )
+)
+def top_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    largest = reports.largest_projects(project_view(spark, sf_dir))
+    return rounded(largest.select("project_id", "state", "sanction_amount", "risk_label"), "sanction_amount")
+
+
+@query(_sql(f"SELECT {_LABEL} AS risk_label, count(*) AS projects FROM flagged GROUP BY 1"))
+def risk_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labelled = project_view(spark, sf_dir).select(reports.risk_label().alias("risk_label"))
+    return labelled.groupBy("risk_label").agg(F.count(F.lit(1)).alias("projects"))
+
+
+@query(
+    _sql(
+        """SELECT project_id, state, work_status, round(sanction_amount, 4) AS sanction_amount FROM flagged
+           WHERE (contains(lower(project_id), 'nation_1') OR contains(lower(state), 'nation_1') OR contains(lower(work_description), 'nation_1')
+                  OR contains(lower(work), 'nation_1'))
+             AND work_status = 'Work Completed' AND (is_exact OR is_potential)"""
+    )
+)
+def search_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = reports.search(project_view(spark, sf_dir), " Nation_1 ", status="Work Completed", flags="duplicate")
+    return rounded(found.select("project_id", "state", "work_status", "sanction_amount"), "sanction_amount")
+
+
+@query(
+    _sql(
+        """SELECT project_id, state, work_status FROM flagged WHERE state = 'NATION_3' AND NOT is_anomaly AND NOT is_exact AND NOT is_potential
+           ORDER BY project_id LIMIT 200"""
+    )
+)
+def search_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First page of a facet search."""
+    found = reports.search(project_view(spark, sf_dir), state="NATION_3", flags="normal")
+    return reports.page(found).select("project_id", "state", "work_status")
+
+
+@query(_sql("SELECT count(*) AS anomalies FROM flagged WHERE is_anomaly"))
+def search_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = reports.search(project_view(spark, sf_dir), flags="anomaly")
+    return found.agg(F.count(F.lit(1)).alias("anomalies"))
+
+
+@query(_sql("SELECT 'state' AS facet, state AS value FROM view360 GROUP BY 2 UNION ALL SELECT 'work_status', work_status FROM view360 WHERE work_status <> '' GROUP BY 2"))
+def facets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    view = project_view(spark, sf_dir)
+    states = reports.facet_values(view, "state").select(F.lit("state").alias("facet"), F.col("state").alias("value"))
+    statuses = reports.facet_values(view, "work_status")
+    return states.unionByName(statuses.select(F.lit("work_status").alias("facet"), F.col("work_status").alias("value")))
+
+
+@query(
+    _sql(
+        """SELECT project_id, work, state, round(amount_disbursed + fund_disbursed_amount, 4) AS disbursed_amount,
+                  CASE WHEN is_anomaly THEN 'Yes' ELSE 'No' END AS cost_anomaly,
+                  CASE WHEN is_exact OR is_potential THEN 'Yes' ELSE 'No' END AS duplicate_match
+           FROM flagged WHERE project_id = 'WS/MP7/2024-2025/7'"""
+    )
+)
+def project_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = reports.project_detail(project_view(spark, sf_dir), "WS/MP7/2024-2025/7")
+    columns = ("project_id", "work", "state", "disbursed_amount", "cost_anomaly", "duplicate_match")
+    return rounded(found.select(*columns), "disbursed_amount")

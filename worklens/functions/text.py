@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -28,16 +28,25 @@ def tokens(normalized: Column, stop_words: Sequence[str] = ()) -> Column:
     return F.filter(words, lambda word: (F.length(word) >= 2) & ~word.isin(*stops))
 
 
-def terms(words: Column, ngrams: int = 1) -> Column:
-    """Unigrams, plus the bigrams of neighbouring words for ``ngrams=2``.
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once per row.
 
-    ``words`` must be a stored column, not an expression: the lambda reads it
-    once per element.
+    The optimiser inlines a column that was computed by an earlier projection;
+    inside a per-element lambda it would then be computed once per element. A
+    lambda variable cannot be inlined.
     """
+    return F.transform(F.array(value), body)[0]
+
+
+def terms(words: Column, ngrams: int = 1) -> Column:
+    """Unigrams, plus the bigrams of neighbouring words for ``ngrams=2``."""
     if ngrams == 1:
         return words
     if ngrams != 2:
         raise ValueError("ngrams must be 1 or 2")
-    following = F.slice(words, F.lit(2), F.greatest(F.size(words), F.lit(1)))
-    bigrams = F.transform(following, lambda word, i: F.concat(words[i], F.lit(" "), word))
-    return F.concat(words, bigrams)
+
+    def with_bigrams(array: Column) -> Column:
+        following = F.slice(array, F.lit(2), F.greatest(F.size(array), F.lit(1)))
+        return F.concat(array, F.transform(following, lambda word, i: F.concat(array[i], F.lit(" "), word)))
+
+    return bound(words, with_bigrams)
