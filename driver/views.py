@@ -13,6 +13,11 @@ AS_OF = "2002-01-01"
 PORTAL_LAUNCH = "1998-01-01"
 
 
+def open_line():
+    """1 for a payment that is not final; an integer keeps the grouping hash-based."""
+    return F.when(F.col("line_status") == "F", 0).otherwise(1)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -90,12 +95,12 @@ def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
         bare_payments(spark, sf_dir)
         .groupBy("project_id")
         .agg(
-            F.max("line_status").alias("_last"),
+            F.max(open_line()).alias("_open"),
             F.max("expenditure_date").alias("completion_date"),
             F.sum("fund_disbursed_amount").alias("amount_disbursed"),
         )
-        .where("_last = 'F'")
-        .drop("_last")
+        .where("_open = 0")
+        .drop("_open")
     )
 
 
@@ -124,15 +129,15 @@ def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.sum("fund_disbursed_amount").alias("total_expenditure"),
             F.count(F.lit(1)).alias("payment_count"),
             F.max("expenditure_date").alias("latest_payment_date"),
-            F.max("line_status").alias("_last"),
+            F.max(open_line()).alias("_open"),
         )
         .withColumns(
             {
-                "completion_date": F.when(F.col("_last") == "F", F.col("latest_payment_date")),
-                "amount_disbursed": F.when(F.col("_last") == "F", F.col("total_expenditure")),
+                "completion_date": F.when(F.col("_open") == 0, F.col("latest_payment_date")),
+                "amount_disbursed": F.when(F.col("_open") == 0, F.col("total_expenditure")),
             }
         )
-        .drop("_last")
+        .drop("_open")
     )
     return (
         works(spark, sf_dir)

@@ -20,12 +20,18 @@ DATE_FORMATS = ("dd-MMM-yyyy", "yyyy-MM-dd", "dd/MM/yyyy", "dd-MM-yyyy")
 TRUE_WORDS = ("true", "yes", "y", "t")
 FALSE_WORDS = ("false", "no", "n", "f")
 
+# The characters Unicode counts as white space.
+WHITE_SPACE = (
+    " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
 MISSING_CATEGORY = "__missing__"
 
 
 def strip(column: Column) -> Column:
     """Trim every kind of white space, non-breaking spaces included."""
-    return F.regexp_replace(column, r"(?U)^\s+|\s+$", "")
+    return F.trim(column, F.lit(WHITE_SPACE))
 
 
 def clean_text(column: Column) -> Column:

@@ -6,9 +6,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from worklens.functions.keys import lenient_key
-from worklens.functions.values import any_of, blank_to_null, first_non_blank, flag, loose_number, strip, to_flag
+from worklens.functions.values import any_of, blank_to_null, first_non_blank, flag, loose_number, strip, to_double, to_flag
 from worklens.operators.shaping import existing, top
 
 PAGE = 200
@@ -25,7 +26,8 @@ UNSPECIFIED = "Unspecified"
 DUPLICATE_FIELDS = ("exact_duplicate_flag", "potential_duplicate_flag", "duplicate_reason", "similar_project_id")
 ANOMALY_FIELDS = ("cost_anomaly_flag", "cost_anomaly_score", "cost_anomaly_reason", "cost_anomaly_available")
 
-# Columns each source may bring, under canonical names.
+# Columns each source may bring, under canonical names; expenditure brings
+# ``fund_disbursed_amount``.
 SOURCE_FIELDS = {
     "recommended": (
         "work_category",
@@ -63,7 +65,6 @@ SOURCE_FIELDS = {
         "completion_date",
         "amount_disbursed",
     ),
-    "expenditure": ("fund_disbursed_amount",),
     "merged": ANOMALY_FIELDS,
     "duplicates": DUPLICATE_FIELDS,
     "anomalies": ANOMALY_FIELDS,
@@ -72,11 +73,25 @@ KEY_COLUMNS = ("work", "project_id", "work_id")
 PAYMENT_KEY_COLUMNS = ("work_id", "work", "project_id")
 
 
+def _paid(df: DataFrame) -> DataFrame:
+    """Payment totals by project, summed under the raw key before keys are read.
+
+    There are far fewer projects than payments, and the sum has a map-side part,
+    so neither key parsing nor the shuffle sees every payment.
+    """
+    amount = F.col("fund_disbursed_amount")
+    is_text = isinstance(df.schema["fund_disbursed_amount"].dataType, T.StringType)
+    value = loose_number(amount) if is_text else F.coalesce(to_double(amount), F.lit(0.0))
+    raw = first_non_blank(*[F.col(c) for c in existing(df, PAYMENT_KEY_COLUMNS)])
+    summed = df.groupBy(raw.alias("_raw")).agg(F.sum(value).alias("fund_disbursed_amount"))
+    return summed.select(lenient_key(F.col("_raw")).alias("project_id"), "fund_disbursed_amount")
+
+
 def _side(df: DataFrame, name: str, order: str) -> DataFrame:
+    if name == "expenditure":
+        return _paid(df)
     fields = SOURCE_FIELDS[name]
-    candidates = PAYMENT_KEY_COLUMNS if name == "expenditure" else KEY_COLUMNS
-    if name in ("merged", "duplicates", "anomalies"):
-        candidates = ("project_id",)
+    candidates = ("project_id",) if name in ("merged", "duplicates", "anomalies") else KEY_COLUMNS
     id_ = lenient_key(first_non_blank(*[F.col(c) for c in existing(df, candidates)]))
     values = [
         (F.col(c).cast("string") if c in df.columns else F.lit(None).cast("string")).alias(c) for c in fields
@@ -97,18 +112,21 @@ def project_360(sources: dict[str, DataFrame], order: str = "serial_no") -> Data
         lambda left, right: left.unionByName(right, allowMissingColumns=True),
         [_side(df, name, order) for name, df in sources.items()],
     ).where(F.col("project_id").isNotNull())
-    for name, fields in SOURCE_FIELDS.items():
-        if name not in sources:
-            kind = "struct<" + ",".join(f"{c}:string" for c in fields) + ">"
-            stacked = stacked.withColumn(name, F.lit(None).cast(kind))
-    paid = F.when(F.col("expenditure").isNotNull(), loose_number(F.col("expenditure.fund_disbursed_amount")))
+    absent = {
+        name: F.lit(None).cast("struct<" + ",".join(f"{c}:string" for c in fields) + ">")
+        for name, fields in SOURCE_FIELDS.items()
+        if name not in sources
+    }
+    if "expenditure" not in sources:
+        absent["fund_disbursed_amount"] = F.lit(None).cast("double")
+    if absent:
+        stacked = stacked.withColumns(absent)
     grouped = stacked.groupBy("project_id").agg(
         *[
             F.max_by(name, F.when(F.col(name).isNotNull(), F.col("_order"))).alias(name)
             for name in SOURCE_FIELDS
-            if name != "expenditure"
         ],
-        F.coalesce(F.sum(paid), F.lit(0.0)).alias("fund_disbursed_amount"),
+        F.coalesce(F.sum("fund_disbursed_amount"), F.lit(0.0)).alias("fund_disbursed_amount"),
     )
 
     def pick(*paths: str) -> Column:
