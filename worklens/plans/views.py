@@ -119,6 +119,8 @@ def project_360(sources: dict[str, DataFrame], order: str = "serial_no") -> Data
     }
     if "expenditure" not in sources:
         absent["fund_disbursed_amount"] = F.lit(None).cast("double")
+    if "_order" not in stacked.columns:
+        absent["_order"] = F.lit(None).cast("long")
     if absent:
         stacked = stacked.withColumns(absent)
     grouped = stacked.groupBy("project_id").agg(
