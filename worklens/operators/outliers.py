@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from worklens.functions.values import category, flag, join_labels, to_double
 from worklens.operators.percentiles import grouped_statistics
+from worklens.operators.shaping import with_row
+from worklens.session import materialize
 
 MINIMUM_PEERS = 20
 QUARTILES = {"peer_q1_cost": 0.25, "peer_median_cost": 0.5, "peer_q3_cost": 0.75}
@@ -70,8 +72,9 @@ def compare_with_peers(
     near = peer_statistics(peers, ["_state", "_work_type"], cost, method)
     wide = peer_statistics(peers, ["_work_type"], cost, method)
     use_near = F.col("near.peer_count") >= minimum_peer_size
-    # The basis is settled on the small statistics tables, so projects join once.
-    basis = (
+    # The basis is settled on the statistics tables, so projects join once. It is
+    # written first: its true size then decides whether projects must move at all.
+    basis = materialize(
         near.alias("near")
         .join(wide.alias("wide"), "_work_type")
         .select(
@@ -79,7 +82,8 @@ def compare_with_peers(
             "_work_type",
             F.when(use_near, F.lit("state_work_type")).otherwise(F.lit("work_type")).alias("peer_basis"),
             *[F.when(use_near, F.col(f"near.{c}")).otherwise(F.col(f"wide.{c}")).alias(c) for c in measures],
-        )
+        ),
+        "peer-basis",
     )
     median, std = F.col("peer_median_cost"), F.coalesce(F.col("peer_std_cost"), F.lit(0.0))
     distance = F.col(cost) - median
@@ -119,7 +123,7 @@ def zscore_outliers(df: DataFrame, value: str = "total_expenditure", threshold:
     """Rows with a value, their absolute z-score (population deviation) and flag."""
     rows = df.where(F.col(value).isNotNull())
     stats = rows.agg(F.avg(value).alias("_mean"), F.stddev_pop(value).alias("_std"))
-    scored = _with_row(rows, stats).withColumn(
+    scored = with_row(rows, stats).withColumn(
         "z_score", F.abs(F.try_divide(F.col(value) - F.col("_mean"), F.col("_std")))
     )
     return scored.withColumn("zscore_anomaly_flag", flag(F.col("z_score") > threshold)).drop("_mean", "_std")
@@ -143,17 +147,8 @@ def iqr_outliers(df: DataFrame, value: str = "total_expenditure", method: str =
     rows = df.where(F.col(value).isNotNull())
     fence = iqr_bounds(rows, value, method).select(F.col("upper_bound").alias("_fence"))
     return (
-        _with_row(rows, fence)
+        with_row(rows, fence)
         .withColumn("iqr_anomaly_flag", flag(F.col(value) > F.col("_fence")))
         .drop("_fence")
     )
 
-
-def _with_row(rows: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Attach the columns of a one-row aggregate to every row.
-
-    The hint is safe: a global aggregate is one row whatever the input size.
-    """
-    return rows.withColumn("_one", F.lit(1)).join(
-        F.broadcast(one_row.withColumn("_one", F.lit(1))), "_one", "left"
-    ).drop("_one")

@@ -17,7 +17,7 @@ from pyspark.sql.window import Window as W
 
 from worklens.session import estimated_bytes
 
-DIRECT_BYTES = 2 * 1024**3
+DIRECT_BYTES = 64 * 1024**2
 
 # Sketch accuracy, and the group size below which the bracket is the full range.
 ACCURACY = 10_000

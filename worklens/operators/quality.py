@@ -7,9 +7,9 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from worklens.operators.percentiles import grouped_statistics
+from worklens.operators.shaping import with_row
 
 
 def null_profile(df: DataFrame, top: int | None = None) -> DataFrame:
@@ -67,9 +67,10 @@ def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
-    """(value, rows, share_pct) of a column; the window runs on the counts only."""
+    """(value, rows, share_pct) of a column."""
     counted = df.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("rows"))
-    return counted.withColumn("share_pct", 100.0 * F.col("rows") / F.sum("rows").over(W.partitionBy()))
+    total = df.agg(F.count(F.lit(1)).alias("_total"))
+    return with_row(counted, total).withColumn("share_pct", 100.0 * F.col("rows") / F.col("_total")).drop("_total")
 
 
 def table_profile(tables: Mapping[str, DataFrame]) -> DataFrame:

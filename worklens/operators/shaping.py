@@ -97,6 +97,18 @@ def last_per_key(df: DataFrame, key: str, order: str | Sequence[str]) -> DataFra
     return _ranked(df, key, [F.col(c).desc() for c in order])
 
 
+def with_row(rows: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Attach the columns of a one-row aggregate to every row.
+
+    The hint is safe: a global aggregate is one row whatever the input size.
+    """
+    return (
+        rows.withColumn("_one", F.lit(1))
+        .join(F.broadcast(one_row.withColumn("_one", F.lit(1))), "_one", "left")
+        .drop("_one")
+    )
+
+
 def top(df: DataFrame, n: int, by: Column | str, tie: str = "project_id") -> DataFrame:
     """The n leading rows, ties settled by ``tie``; no full sort."""
     return df.orderBy(F.desc(by) if isinstance(by, str) else by, F.asc(tie)).limit(n)

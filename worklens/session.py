@@ -68,6 +68,14 @@ def materialize(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete the cut points of this application once its results are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(
+        f"{work_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}"
+    )
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """Size the optimiser assumes for a plan, without running it.
 
