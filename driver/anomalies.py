@@ -43,26 +43,29 @@ def peer_stats_bracket(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _peer_stats(spark, sf_dir, "bracket")
 
 
+_MEASURED = {
+    "near": """SELECT state, work_type, count(*) AS n, quantile_cont(CAST(cost_amount AS DOUBLE), 0.5) AS med,
+        quantile_cont(CAST(cost_amount AS DOUBLE), 0.25) AS q1, quantile_cont(CAST(cost_amount AS DOUBLE), 0.75) AS q3,
+        stddev_samp(cost_amount) AS sd FROM peers GROUP BY state, work_type""",
+    "wide": """SELECT work_type, count(*) AS n, quantile_cont(CAST(cost_amount AS DOUBLE), 0.5) AS med,
+        quantile_cont(CAST(cost_amount AS DOUBLE), 0.25) AS q1, quantile_cont(CAST(cost_amount AS DOUBLE), 0.75) AS q3,
+        stddev_samp(cost_amount) AS sd FROM peers GROUP BY work_type""",
+    "based": """SELECT p.project_id, p.cost_amount, CASE WHEN n.n >= 20 THEN 'state_work_type' ELSE 'work_type' END AS peer_basis,
+        CASE WHEN n.n >= 20 THEN n.n ELSE w.n END AS cnt, CASE WHEN n.n >= 20 THEN n.med ELSE w.med END AS med,
+        CASE WHEN n.n >= 20 THEN n.q1 ELSE w.q1 END AS q1, CASE WHEN n.n >= 20 THEN n.q3 ELSE w.q3 END AS q3,
+        CASE WHEN n.n >= 20 THEN n.sd ELSE w.sd END AS sd
+        FROM peers p JOIN near n USING (state, work_type) JOIN wide w USING (work_type)""",
+    "measured": """SELECT project_id, peer_basis, cnt AS peer_count, med, q3 - q1 AS iqr, (cost_amount - med) / nullif(med, 0) AS dev,
+        CASE WHEN coalesce(sd, 0) > 0 THEN (cost_amount - med) / sd ELSE 0 END AS z,
+        CASE WHEN cost_amount < q1 - 1.5 * (q3 - q1) OR cost_amount > q3 + 1.5 * (q3 - q1) THEN 1 ELSE 0 END AS flag
+        FROM based""",
+}
+
+
 @query(
     views.with_views(
         "peers",
-        extra={
-            "near": """SELECT state, work_type, count(*) AS n, quantile_cont(CAST(cost_amount AS DOUBLE), 0.5) AS med,
-                quantile_cont(CAST(cost_amount AS DOUBLE), 0.25) AS q1, quantile_cont(CAST(cost_amount AS DOUBLE), 0.75) AS q3,
-                stddev_samp(cost_amount) AS sd FROM peers GROUP BY state, work_type""",
-            "wide": """SELECT work_type, count(*) AS n, quantile_cont(CAST(cost_amount AS DOUBLE), 0.5) AS med,
-                quantile_cont(CAST(cost_amount AS DOUBLE), 0.25) AS q1, quantile_cont(CAST(cost_amount AS DOUBLE), 0.75) AS q3,
-                stddev_samp(cost_amount) AS sd FROM peers GROUP BY work_type""",
-            "based": """SELECT p.project_id, p.cost_amount, CASE WHEN n.n >= 20 THEN 'state_work_type' ELSE 'work_type' END AS peer_basis,
-                CASE WHEN n.n >= 20 THEN n.n ELSE w.n END AS cnt, CASE WHEN n.n >= 20 THEN n.med ELSE w.med END AS med,
-                CASE WHEN n.n >= 20 THEN n.q1 ELSE w.q1 END AS q1, CASE WHEN n.n >= 20 THEN n.q3 ELSE w.q3 END AS q3,
-                CASE WHEN n.n >= 20 THEN n.sd ELSE w.sd END AS sd
-                FROM peers p JOIN near n USING (state, work_type) JOIN wide w USING (work_type)""",
-            "measured": """SELECT project_id, peer_basis, cnt AS peer_count, med, q3 - q1 AS iqr, (cost_amount - med) / nullif(med, 0) AS dev,
-                CASE WHEN coalesce(sd, 0) > 0 THEN (cost_amount - med) / sd ELSE 0 END AS z,
-                CASE WHEN cost_amount < q1 - 1.5 * (q3 - q1) OR cost_amount > q3 + 1.5 * (q3 - q1) THEN 1 ELSE 0 END AS flag
-                FROM based""",
-        },
+        extra=_MEASURED,
         body="""
         SELECT project_id, peer_basis, peer_count, round(med, 4) AS peer_median_cost, round(iqr, 4) AS peer_iqr_cost,
                round(dev, 6) AS cost_deviation_pct, round(z, 6) AS cost_zscore, flag AS cost_iqr_flag,
@@ -207,3 +210,60 @@ def standard_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
         spent.select("project_id", "fund_utilization", "expenditure_ratio"), ["fund_utilization", "expenditure_ratio"]
     )
     return rounded(scaled, "fund_utilization", "expenditure_ratio")
+
+
+@query(
+    views.with_views(
+        "peers",
+        extra=_MEASURED,
+        body="""
+        SELECT project_id, peer_count, round(med, 4) AS peer_median_cost, round(iqr, 4) AS peer_iqr_cost, round(dev, 6) AS cost_deviation_pct,
+               round(z, 6) AS cost_zscore, flag AS cost_iqr_flag, 1 AS cost_anomaly_available,
+               CASE WHEN flag = 1 THEN 1 ELSE 0 END AS names_iqr, CASE WHEN abs(z) >= 3 THEN 1 ELSE 0 END AS names_zscore,
+               CASE WHEN dev >= 1 THEN 1 ELSE 0 END AS names_median
+        FROM measured""",
+    )
+)
+def cost_detector_peers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the full cost detector says apart from the forest's own score."""
+    result, _ = forest.detect_cost_anomalies(views.peers(spark, sf_dir), validate=False)
+    reason = F.col("cost_anomaly_reason")
+    table = result.select(
+        "project_id",
+        "peer_count",
+        "peer_median_cost",
+        "peer_iqr_cost",
+        "cost_deviation_pct",
+        "cost_zscore",
+        "cost_iqr_flag",
+        F.col("cost_anomaly_available").cast("int").alias("cost_anomaly_available"),
+        F.contains(reason, F.lit(outliers.IQR_REASON)).cast("int").alias("names_iqr"),
+        F.contains(reason, F.lit(outliers.ZSCORE_REASON)).cast("int").alias("names_zscore"),
+        F.contains(reason, F.lit(outliers.MEDIAN_REASON)).cast("int").alias("names_median"),
+    )
+    return rounded(rounded(table, "peer_median_cost", "peer_iqr_cost"), "cost_deviation_pct", "cost_zscore", digits=6)
+
+
+@query(
+    views.with_views(
+        "works",
+        "payments",
+        "totals",
+        "completions",
+        "projects",
+        extra={
+            "p": "SELECT quantile_cont(CAST(payment_count AS DOUBLE), 0.95) AS many FROM totals",
+            "r": f"""SELECT project_id, concat_ws('; ',
+                CASE WHEN total_expenditure > sanction_amount THEN 'Expenditure exceeds sanctioned amount' END,
+                CASE WHEN total_expenditure / sanction_amount > 1 THEN 'Fund utilization above 100%' END,
+                CASE WHEN date_diff('day', sanction_date, DATE '{views.AS_OF}') > 700 THEN 'Project age unusually high' END,
+                CASE WHEN payment_count > many THEN 'Unusually high number of payments' END) AS reasons
+                FROM projects, p WHERE total_expenditure IS NOT NULL""",
+        },
+        body="""SELECT project_id, CASE WHEN reasons = '' THEN 'Detected by Isolation Forest pattern analysis' ELSE reasons END AS anomaly_reason FROM r""",
+    )
+)
+def spending_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reason text of every project with payments, flagged or not."""
+    result, _ = forest.detect_spending_patterns(_features(spark, sf_dir))
+    return result.select("project_id", "anomaly_reason")
