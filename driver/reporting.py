@@ -10,6 +10,7 @@ from driver.lifecycle import rounded
 from driver.registry import query
 from driver.risk import BASE, DETECTORS, cost_flags, detectors, duplicate_flags
 from worklens.plans import views as reports
+from worklens.session import materialize
 
 _TEXT_DATES = ("recommended_date", "sanction_date", "completion_date")
 _MONEY = ("sanction_amount", "recommended_amount", "amount_disbursed", "fund_disbursed_amount")
@@ -25,9 +26,9 @@ def _as_text(df: DataFrame) -> DataFrame:
 
 def project_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Project 360 over all seven sources."""
+    costs = materialize(cost_flags(spark, sf_dir), "cost-flags")
     anomalies = (
-        cost_flags(spark, sf_dir)
-        .where("anomaly_score > 0.1")
+        costs.where("anomaly_score > 0.1")
         .select(
             "project_id",
             "cost_anomaly_flag",
@@ -36,7 +37,7 @@ def project_view(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit("True").alias("cost_anomaly_available"),
         )
     )
-    merged = detectors(spark, sf_dir).withColumn("cost_anomaly_score", F.col("cost_anomaly_score").cast("decimal(12,6)"))
+    merged = detectors(spark, sf_dir, costs).withColumn("cost_anomaly_score", F.col("cost_anomaly_score").cast("decimal(12,6)"))
     return reports.project_360(
         {
             "recommended": _as_text(_with_work(views.recommended(spark, sf_dir))),

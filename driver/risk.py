@@ -56,8 +56,9 @@ def cost_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def detectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fusion.merge_detectors(duplicate_flags(spark, sf_dir), cost_flags(spark, sf_dir), validate=False)
+def detectors(spark: SparkSession, sf_dir: str, costs: DataFrame | None = None) -> DataFrame:
+    costs = cost_flags(spark, sf_dir) if costs is None else costs
+    return fusion.merge_detectors(duplicate_flags(spark, sf_dir), costs, validate=False)
 
 
 BASE = ("works", "payments", "totals", "completions", "projects")
