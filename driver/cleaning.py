@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from driver import views
 from driver.registry import query
 from worklens.functions import keys, text, values
+from worklens.operators.shaping import with_row
+from worklens.schemas import SANCTIONED, landing_schema
 from worklens.session import new_path
 from worklens.sources.landing import clean, ingest, read_optional
 from worklens.sources.sinks import write_csv
-from worklens.schemas import SANCTIONED, landing_schema
 
 KEY_RE = r"WS/\s*MP\d+/\d{4}-\d{4}/\d+"
 
@@ -260,4 +261,4 @@ def optional_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A source that is there next to one that is not."""
     absent = read_optional(spark, new_path(spark, "never-written"), landing_schema("completed"))
     here = views.works(spark, sf_dir).agg(F.count(F.lit(1)).alias("rows"))
-    return here.join(absent.agg(F.count(F.lit(1)).alias("absent_rows")))
+    return with_row(here, absent.agg(F.count(F.lit(1)).alias("absent_rows")))
