@@ -1,4 +1,4 @@
 """All queries of the subpackage; importing this module registers them."""
 
-from worklens.llm import line_dedup, packing, simhash, token_files  # noqa: F401
+from worklens.llm import edit_fingerprint, line_dedup, packing, simhash, token_files  # noqa: F401
 from worklens.llm.registry import ORACLES, QUERIES  # noqa: F401
