@@ -31,6 +31,8 @@ from worklens.session import materialize
 #: Buckets for words and for pairs; shapes have their own, fewer ones.
 WORD_BUCKETS, PAIR_BUCKETS, SHAPE_BUCKETS = 1 << 17, 1 << 14, 1 << 10
 FEATURES = WORD_BUCKETS + PAIR_BUCKETS + SHAPE_BUCKETS
+#: Times in a row that make a word's repetition a feature.
+RUNS = (4, 6)
 #: Labelled rows used, chosen by a hash of their number; a broadcast of (number, kind) is bounded by it.
 LABELLED = 50_000
 #: Likelihood-ratio statistic (G squared) from which a feature's excess in an avoided kind is beyond chance.
@@ -46,6 +48,12 @@ _SHAPE = bytes(
 )
 
 
+def ngram_all(flags: np.ndarray, n: int) -> np.ndarray:
+    """Whether the n flags from each place on are all set."""
+    total = np.concatenate([[0], np.cumsum(flags)])
+    return total[n:] - total[:-n] == n if len(flags) >= n else np.zeros(0, bool)
+
+
 def features(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Feature of every occurrence, and where each text's begin (one more entry than texts)."""
     words = Words([t.translate(_PLAIN) for t in raw])
@@ -57,17 +65,17 @@ def features(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         codes = np.frombuffer(t.translate(_SHAPE), np.uint8)
         marks.append(codes[np.concatenate([[True], codes[1:] != codes[:-1]])].tobytes() if len(codes) else b"")
     shapes = Words(marks)
-    # A word three times in a row is a shape too, the first one.
+    # A word some times in a row is a shape too, the first ones.
     same = (hashes[:-1] == hashes[1:]) & inside if len(hashes) > 1 else inside
-    again = np.flatnonzero(same[:-1] & same[1:])
+    runs = [np.flatnonzero(ngram_all(same, k - 1)) for k in RUNS]
     paired = words.text[:-1][inside] if len(hashes) > 1 else np.zeros(0, np.int64)
-    of = np.concatenate([words.text, paired, shapes.text, words.text[again]])
+    of = np.concatenate([words.text, paired, shapes.text, *[words.text[r] for r in runs]])
     feature = np.concatenate(
         [
             hashes % np.uint64(WORD_BUCKETS),
             pairs[inside] % np.uint64(PAIR_BUCKETS) + np.uint64(WORD_BUCKETS),
-            shapes.hashes() % np.uint64(SHAPE_BUCKETS - 1) + np.uint64(WORD_BUCKETS + PAIR_BUCKETS + 1),
-            np.full(len(again), WORD_BUCKETS + PAIR_BUCKETS, np.uint64),
+            shapes.hashes() % np.uint64(SHAPE_BUCKETS - len(RUNS)) + np.uint64(WORD_BUCKETS + PAIR_BUCKETS + len(RUNS)),
+            *[np.full(len(r), WORD_BUCKETS + PAIR_BUCKETS + i, np.uint64) for i, r in enumerate(runs)],
         ]
     ).astype(np.int64)
     order = np.argsort(of, kind="stable")
