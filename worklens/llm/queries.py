@@ -1,4 +1,4 @@
 """All queries of the subpackage; importing this module registers them."""
 
-from worklens.llm import decontamination, edit_fingerprint, language, line_dedup, packing, quality, simhash, token_files  # noqa: F401
+from worklens.llm import chunk_dedup, decontamination, edit_fingerprint, language, line_dedup, packing, quality, simhash, token_files  # noqa: F401
 from worklens.llm.registry import ORACLES, QUERIES  # noqa: F401
