@@ -130,7 +130,7 @@ def softmax(x: np.ndarray) -> np.ndarray:
 
 def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     """Model from (doc_id, text, lang) rows, at most ``sample`` of them."""
-    known = labelled.where("lang IS NOT NULL AND text IS NOT NULL")
+    known = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
     chosen = known.select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h").limit(sample)
     rows = known.join(F.broadcast(materialize(chosen, "language-sample")), "doc_id")  # at most ``sample`` pairs of numbers
 

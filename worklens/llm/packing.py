@@ -1,9 +1,10 @@
 """Best-fit packing of documents into training sequences by the sum-of-squares rule.
 
 For every gap g, N(g) counts the open sequences with g tokens of room. A piece
-goes where the sum of N(g)^2 afterwards is smallest, a new sequence included in
-the choice (Csirik et al., J. ACM 2006). Gaps stay evenly used, so a later
-piece nearly always finds a sequence it fills exactly.
+goes into the open sequence after which the sum of N(g)^2 is smallest (Csirik
+et al., J. ACM 2006), and into a new one only where none has room. Gaps stay
+evenly used, so a later piece nearly always finds a sequence it fills. Pieces
+come longest first; that and the last rule matter when few pieces are packed.
 
 The rule looks at one piece after another, so pieces are dealt by a hash into
 groups of bounded size, each packed by one task; a group loses at most the few
@@ -30,8 +31,6 @@ from worklens.session import materialize
 LENGTH = 2048
 #: Pieces packed together by one task.
 GROUP_PIECES = 100_000
-#: Classes of length that go from long to short.
-CLASSES = 16
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -89,7 +88,7 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = LENGTH) -> tuple[np.ndar
     where, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
     for i, n in enumerate(lengths.tolist()):
         # From gap g (n <= g < capacity): leaves N(g), enters N(g-n) unless g == n.
-        best, gap = None, None
+        gap = None
         if n < capacity:
             gaps = room[n:capacity]
             change = 2 * (room[: capacity - n] - gaps) + 2
@@ -97,9 +96,8 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = LENGTH) -> tuple[np.ndar
             change[gaps == 0] = np.iinfo(np.int64).max
             at = int(change.argmin())
             if gaps[at]:
-                best, gap = int(change[at]), at + n
-        fresh = 0 if n == capacity else 2 * int(room[capacity - n]) + 1
-        if gap is None or fresh < best:
+                gap = at + n
+        if gap is None:
             bin_, gap = len(used), capacity
             used.append(0)
         else:
@@ -118,9 +116,8 @@ def pack(table_: DataFrame, length: int = LENGTH, group_pieces: int = GROUP_PIEC
 
     Groups are dealt by a hash of the row and its place in the table, so every
     group sees the same mix of lengths and rows that repeat are placed once
-    each. An empty table gives no rows. Within a group the classes of length
-    (sixteenths of a sequence) go from long to short, pieces of a class by
-    hash: the rule works best on a mix, and short pieces fill what is left.
+    each. An empty table gives no rows. Within a group pieces go from long to
+    short, those of one length by hash.
     """
     total = table_.count()
     groups = max(1, -(-total // group_pieces))
@@ -130,7 +127,7 @@ def pack(table_: DataFrame, length: int = LENGTH, group_pieces: int = GROUP_PIEC
 
     def place(frame: pd.DataFrame) -> pd.DataFrame:
         sizes = frame["length"].to_numpy()
-        order = np.lexsort((frame["_hash"].to_numpy(), -((sizes - 1) * CLASSES // length)))
+        order = np.lexsort((frame["_hash"].to_numpy(), -sizes))
         frame = frame.iloc[order]
         where, offset = sum_of_squares(sizes[order], length)
         frame = frame.assign(sequence_id=int(frame["_group"].iloc[0]) + where * groups, offset=offset)
