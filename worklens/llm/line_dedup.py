@@ -25,6 +25,8 @@ from worklens.session import materialize
 
 #: Keys a shard holds on average.
 SHARD_KEYS = 100_000
+#: Lines that probe a shard on average.
+SHARD_PROBES = 200_000
 #: Probes of counted lines per copy of a shard: one with frequent lines gets several copies, each with its own stream.
 COPY_PROBES = 1_000_000
 MIN_CHARS = 20
@@ -108,10 +110,13 @@ def build_shards(lines: DataFrame, min_docs: int = MIN_DOCS, shard_keys: int = S
     """The shards (shard, data) of all keys in at least ``min_docs`` documents, and their number."""
     # A document number that occurs twice stands for one document.
     counted = (
-        lines.groupBy("h", "f").agg(F.sum((F.col("doc_id") != NO_NUMBER).cast("long")).alias("docs"), F.max("doc_id").alias("last")).where(F.col("docs") >= min_docs)
+        lines.distinct()
+        .groupBy("h", "f")
+        .agg(F.sum((F.col("doc_id") != NO_NUMBER).cast("long")).alias("docs"), F.max("doc_id").alias("last"))
+        .where(F.col("docs") >= min_docs)
     )
     counted = materialize(counted, "line-counts")
-    shards = max(1, -(-counted.count() // shard_keys))
+    shards = max(1, -(-counted.count() // shard_keys), -(-lines.count() // SHARD_PROBES))
 
     def build(frame: pd.DataFrame) -> pd.DataFrame:
         # Two keys with one first hash: the later ones are left to the spill list.
@@ -165,7 +170,7 @@ class ShardArrays:
 def repeated_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, shard_keys: int = SHARD_KEYS) -> DataFrame:
     """(doc_id, h, f) of the keys a document has to give up."""
     lines = materialize(line_rows(docs, min_chars), "lines")
-    shards, n = build_shards(lines.distinct(), min_docs, shard_keys)
+    shards, n = build_shards(lines, min_docs, shard_keys)
     none = F.lit(None).cast("binary")
     copy = F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy")
     no = F.lit(0).cast("long")
