@@ -23,9 +23,9 @@ _STATS = """count(cost_amount) AS peer_count,
 _MEASURES = ("peer_median_cost", "peer_q1_cost", "peer_q3_cost", "peer_std_cost", "peer_iqr_cost")
 
 
-def _peer_stats(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
+def _peer_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = outliers.peer_groups(views.peers(spark, sf_dir))
-    stats = outliers.peer_statistics(groups, ["_state", "_work_type"], method=method)
+    stats = outliers.peer_statistics(groups, ["_state", "_work_type"])
     return rounded(stats.withColumnsRenamed({"_state": "state", "_work_type": "work_type"}), *_MEASURES)
 
 
@@ -34,13 +34,13 @@ _PEER_SQL = views.with_views("peers", body=f"SELECT state, work_type, {_STATS} F
 
 @query(_PEER_SQL)
 def peer_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _peer_stats(spark, sf_dir, "auto")
+    return _peer_stats(spark, sf_dir)
 
 
 @query(_PEER_SQL)
 def peer_stats_bracket(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same statistics by the method for groups of any size."""
-    return _peer_stats(spark, sf_dir, "bracket")
+    """The same statistics under the name they had as a second method."""
+    return _peer_stats(spark, sf_dir)
 
 
 _MEASURED = {
@@ -142,8 +142,8 @@ def iqr_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 )
 def iqr_bounds_bracket(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Global quartiles by the method for inputs of any size."""
-    bounds = outliers.iqr_bounds(_totals(spark, sf_dir), method="bracket")
+    """Global quartiles."""
+    bounds = outliers.iqr_bounds(_totals(spark, sf_dir))
     return rounded(bounds, "q1", "q3", "iqr", "lower_bound", "upper_bound")
 
 

@@ -1,17 +1,16 @@
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from worklens.operators import percentiles as p
 
-FRACTIONS = {"low": 0.05, "q1": 0.25, "mid": 0.5, "q3": 0.75, "high": 0.95}
+FRACTIONS = {"low": 0.05, "q1": 0.25, "mid": 0.5, "q3": 0.75, "high": 0.95, "all": 1.0}
 
 
-@pytest.fixture
+@pytest.fixture(scope="module")
 def values(spark):
-    """One group holds a third of all rows, another has a single value."""
+    """One group holds a third of all rows, another has a single value; NULL is a group too."""
     random = np.random.default_rng(3)
-    groups = {"hot": 40_000, "b": 301, "c": 2, "one": 1, "flat": 5_000, "ties": 20_000}
+    groups = {"hot": 40_000, "b": 301, "c": 2, "one": 1, "flat": 5_000, "ties": 20_000, None: 77}
     rows = []
     for name, size in groups.items():
         drawn = np.full(size, 7.0) if name == "flat" else random.normal(size=size) * 1e3
@@ -22,27 +21,23 @@ def values(spark):
     return spark.createDataFrame(rows, "g string, v double"), rows
 
 
-@pytest.mark.parametrize("small_group", [0, 1_000, 100_000])
-def test_bracket_equals_interpolated_percentiles(values, monkeypatch, small_group):
-    # With 0 every group goes through the sketch; those under one rank of error
-    # would be read off too narrow a bracket, so only large groups are checked.
-    monkeypatch.setattr(p, "SMALL_GROUP", small_group)
+@pytest.mark.parametrize("cuts", [3, p.CUTS])
+def test_equal_to_interpolated_percentiles(values, monkeypatch, cuts):
+    monkeypatch.setattr(p, "CUTS", cuts)
     df, rows = values
-    keep = ["hot", "ties", "flat"] if small_group == 0 else None
-    if keep:
-        df = df.where(F.col("g").isin(keep))
-    found = {r["g"]: r for r in p.grouped_statistics(df, ["g"], "v", FRACTIONS, method="bracket").collect()}
-    for group in keep or ["hot", "ties", "flat", "b", "c", "one"]:
+    found = {r["g"]: r for r in p.grouped_statistics(df, ["g"], "v", FRACTIONS).collect()}
+    assert set(found) == {g for g, _ in rows}
+    for group in set(found) - {"empty"}:
         data = [v for g, v in rows if g == group and v is not None]
         for name, fraction in FRACTIONS.items():
             assert found[group][name] == pytest.approx(np.percentile(data, 100 * fraction), rel=1e-12, abs=1e-9)
-    if not keep:
-        assert found["empty"]["mid"] is None
+    assert found["empty"]["mid"] is None
 
 
-def test_methods_agree_without_keys(values):
-    df, _ = values
-    direct = p.grouped_statistics(df, [], "v", FRACTIONS, method="direct").first()
-    bracket = p.grouped_statistics(df, [], "v", FRACTIONS, method="bracket").first()
-    for name in FRACTIONS:
-        assert bracket[name] == pytest.approx(direct[name], rel=1e-12)
+def test_without_keys(values):
+    df, rows = values
+    found = p.grouped_statistics(df, [], "v", FRACTIONS).first()
+    data = [v for _, v in rows if v is not None]
+    for name, fraction in FRACTIONS.items():
+        assert found[name] == pytest.approx(np.percentile(data, 100 * fraction), rel=1e-12)
+    assert p.grouped_statistics(df.where("false"), [], "v", FRACTIONS).first()["mid"] is None

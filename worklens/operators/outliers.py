@@ -39,7 +39,7 @@ def peer_groups(
     )
 
 
-def peer_statistics(peers: DataFrame, keys: Sequence[str], cost: str = "cost_amount", method: str = "auto") -> DataFrame:
+def peer_statistics(peers: DataFrame, keys: Sequence[str], cost: str = "cost_amount") -> DataFrame:
     """Count, quartiles, sample deviation and IQR of each peer group."""
     stats = grouped_statistics(
         peers,
@@ -47,7 +47,6 @@ def peer_statistics(peers: DataFrame, keys: Sequence[str], cost: str = "cost_amo
         cost,
         QUARTILES,
         {"peer_count": F.count(cost), "peer_std_cost": F.stddev_samp(cost)},
-        method,
     )
     return stats.withColumn("peer_iqr_cost", F.col("peer_q3_cost") - F.col("peer_q1_cost"))
 
@@ -58,7 +57,6 @@ def compare_with_peers(
     state: str = "state",
     work_type: str = "work_type",
     cost: str = "cost_amount",
-    method: str = "auto",
 ) -> DataFrame:
     """Every project with a cost next to the statistics of its peers.
 
@@ -69,8 +67,8 @@ def compare_with_peers(
         raise ValueError("minimum_peer_size must be at least 2")
     peers = peer_groups(projects, state, work_type, cost)
     measures = ["peer_count", "peer_median_cost", "peer_q1_cost", "peer_q3_cost", "peer_std_cost", "peer_iqr_cost"]
-    near = peer_statistics(peers, ["_state", "_work_type"], cost, method)
-    wide = peer_statistics(peers, ["_work_type"], cost, method)
+    near = peer_statistics(peers, ["_state", "_work_type"], cost)
+    wide = peer_statistics(peers, ["_work_type"], cost)
     use_near = F.col("near.peer_count") >= minimum_peer_size
     # The basis is settled on the statistics tables, so projects join once. It is
     # written first: its true size then decides whether projects must move at all.
@@ -129,9 +127,9 @@ def zscore_outliers(df: DataFrame, value: str = "total_expenditure", threshold:
     return scored.withColumn("zscore_anomaly_flag", flag(F.col("z_score") > threshold)).drop("_mean", "_std")
 
 
-def iqr_bounds(df: DataFrame, value: str = "total_expenditure", method: str = "auto") -> DataFrame:
+def iqr_bounds(df: DataFrame, value: str = "total_expenditure") -> DataFrame:
     """One row: quartiles, IQR and both fences of a column."""
-    stats = grouped_statistics(df, [], value, {"q1": 0.25, "q3": 0.75}, method=method)
+    stats = grouped_statistics(df, [], value, {"q1": 0.25, "q3": 0.75})
     iqr = F.col("q3") - F.col("q1")
     return stats.select(
         "q1",
@@ -142,10 +140,10 @@ def iqr_bounds(df: DataFrame, value: str = "total_expenditure", method: str = "a
     )
 
 
-def iqr_outliers(df: DataFrame, value: str = "total_expenditure", method: str = "auto") -> DataFrame:
+def iqr_outliers(df: DataFrame, value: str = "total_expenditure") -> DataFrame:
     """Rows with a value and a flag for lying above the upper fence."""
     rows = df.where(F.col(value).isNotNull())
-    fence = iqr_bounds(rows, value, method).select(F.col("upper_bound").alias("_fence"))
+    fence = iqr_bounds(rows, value).select(F.col("upper_bound").alias("_fence"))
     return (
         with_row(rows, fence)
         .withColumn("iqr_anomaly_flag", flag(F.col(value) > F.col("_fence")))

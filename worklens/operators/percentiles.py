@@ -1,10 +1,11 @@
-"""Exact interpolated percentiles that hold for groups of any size.
-
-Spark's ``percentile`` keeps a map of all distinct values of a group in one
-aggregation buffer. That is the fastest way while the input is small; beyond
-that the same numbers come from two passes: a sketch gives each percentile a
-narrow value bracket, then only the values inside the brackets are counted and
-ranked.
+"""Exact interpolated percentiles, by one method for groups of any size.
+
+Equal values of a group are counted first. A percentile is then found by rank:
+a group's distinct values are cut into ``CUTS`` slices, the counts of the
+slices tell in which slice each wanted rank lies, and only that slice is cut
+again. After ``ROUNDS`` cuts what is left of a slice is small and is ranked
+value by value. Slices need not be even to give the right value, so a coarse
+sketch may set their edges; it only spreads the work.
 """
 
 from __future__ import annotations
@@ -15,13 +16,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from worklens.session import estimated_bytes
-
-DIRECT_BYTES = 64 * 1024**2
+from worklens.session import materialize
 
-# Sketch accuracy, and the group size below which the bracket is the full range.
-ACCURACY = 10_000
-SMALL_GROUP = 100_000
+CUTS = 512
+ROUNDS = 2
+#: Accuracy of the sketch that sets the edges.
+ACCURACY = 4 * CUTS
 
 
 def grouped_statistics(
@@ -30,114 +30,79 @@ def grouped_statistics(
     value: str,
     percentiles: Mapping[str, float],
     others: Mapping[str, Column] | None = None,
-    method: str = "auto",
 ) -> DataFrame:
     """Per-group exact percentiles ``{name: fraction}`` plus other aggregates.
 
-    NULL values are left out of every percentile. With no keys the result is
-    one row. ``method`` is ``direct``, ``bracket`` or ``auto`` (by plan size).
+    NULL values are left out of every percentile; a group without values has
+    NULL percentiles. NULL is a key like any other. With no keys the result is
+    one row, also over an empty table.
     """
     others = dict(others or {})
-    if method == "auto":
-        method = "direct" if estimated_bytes(df) <= DIRECT_BYTES else "bracket"
-    if method == "direct":
-        measures = {name: F.percentile(value, F.lit(p)) for name, p in percentiles.items()}
-        return _aggregate(df, keys, {**others, **measures})
-    if method == "bracket":
-        return _bracketed(df, list(keys), value, dict(percentiles), others)
-    raise ValueError(f"Unknown method: {method}")
-
-
-def _aggregate(df: DataFrame, keys: Sequence[str], measures: Mapping[str, Column]) -> DataFrame:
-    return df.groupBy(*keys).agg(*[column.alias(name) for name, column in measures.items()])
-
-
-def _bracketed(df, keys, value, percentiles, others) -> DataFrame:
-    if not keys:
-        whole = _bracketed(df.withColumn("_all", F.lit(1)), ["_all"], value, percentiles, others)
-        return whole.drop("_all")
-
-    margin = 2.0 / ACCURACY
-    bounds = [
-        edge for p in percentiles.values() for edge in (max(p - margin, 0.0), min(p + margin, 1.0))
-    ]
-    sketch = _aggregate(
-        df,
-        keys,
-        {
-            **others,
-            "_n": F.count(value),
-            "_low": F.min(value).cast("double"),
-            "_high": F.max(value).cast("double"),
-            "_edges": F.percentile_approx(F.col(value).cast("double"), bounds, ACCURACY),
-        },
-    )
-    small = F.col("_n") <= SMALL_GROUP
-    brackets = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("slot"),
-                F.when(small, F.col("_low")).otherwise(F.col("_edges")[2 * i]).alias("low"),
-                F.when(small, F.col("_high")).otherwise(F.col("_edges")[2 * i + 1]).alias("high"),
-            )
-            for i in range(len(percentiles))
-        ]
-    )
-    edges = sketch.select(*keys, brackets.alias("_brackets"))
-
-    # One row per value and bracket it can matter to. Values under a bracket
-    # only add to the rank offset, so they collapse to a single NULL bucket in
-    # the map-side part of the count.
-    matched = (
+    measures = [F.count(value).alias("_n"), *[column.alias(name) for name, column in others.items()]]
+    summary = df.groupBy(*keys).agg(*measures)
+    names = [f"_k{i}" for i in range(len(keys))]
+    # Keys as text that keeps NULL apart, so that plain joins find every group.
+    plain = [F.coalesce(F.concat(F.lit("="), F.col(k).cast("string")), F.lit("?")).alias(n) for k, n in zip(keys, names, strict=True)]
+    counted = materialize(
         df.where(F.col(value).isNotNull())
-        .select(*keys, F.col(value).cast("double").alias("_v"))
-        .join(edges, keys)
-        .select(
-            *keys,
-            "_v",
-            F.explode(F.filter("_brackets", lambda b: F.col("_v") <= b["high"])).alias("_b"),
-        )
-        .select(
-            *keys,
-            F.col("_b.slot").alias("_slot"),
-            F.when(F.col("_v") >= F.col("_b.low"), F.col("_v")).alias("_v"),
-        )
-        .groupBy(*keys, "_slot", "_v")
-        .agg(F.count(F.lit(1)).alias("_c"))
+        .select(*plain, F.col(value).cast("double").alias("_v"))
+        .groupBy(*names, "_v")
+        .agg(F.count(F.lit(1)).alias("_c")),
+        "counted-values",
     )
-    ordered = W.partitionBy(*keys, "_slot").orderBy(F.col("_v").asc_nulls_first())
-    ranked = matched.withColumn("_upto", F.sum("_c").over(ordered)).join(
-        sketch.select(*keys, "_n"), keys
+    found = _percentiles(counted, names, dict(percentiles))
+    # Without keys both sides are one row.
+    whole = summary.select("*", *plain).join(found, names, "left") if names else summary.withColumn("_k", F.lit(0)).join(found.withColumn("_k", F.lit(0)), "_k", "left").drop("_k")
+    return whole.select(*keys, *others, *percentiles)
+
+
+def _percentiles(counted: DataFrame, keys: list[str], percentiles: dict[str, float]) -> DataFrame:
+    """One row per key with a column per percentile."""
+    sizes = counted.groupBy(*keys).agg(F.sum("_c").alias("_n"))
+    position = lambda p: (F.col("_n") - 1) * F.lit(float(p))
+    ranks = [
+        F.struct(F.lit(2 * i + side).alias("slot"), edge(position(p)).cast("long").alias("rank"))
+        for i, p in enumerate(percentiles.values())
+        for side, edge in enumerate((F.floor, F.ceil))
+    ]
+    wanted = sizes.where("_n > 0").select(*keys, F.explode(F.array(*ranks)).alias("_w")).select(*keys, F.col("_w.slot").alias("_slot"), F.col("_w.rank").alias("_rank"))
+    rows, by = counted, list(keys)
+    for _ in range(ROUNDS):
+        rows, wanted = _narrow(rows, by, wanted, [*keys, "_slot"])
+        by = [*keys, "_slot"]
+    upto = F.sum("_c").over(W.partitionBy(*by).orderBy("_v"))
+    ranked = rows.withColumn("_upto", upto).join(wanted, by)
+    at = ranked.where((F.col("_upto") - F.col("_c") <= F.col("_rank")) & (F.col("_rank") < F.col("_upto")))
+    picked = at.groupBy(*keys).agg(*[F.max(F.when(F.col("_slot") == s, F.col("_v"))).alias(f"_s{s}") for s in range(2 * len(percentiles))])
+    # A key's size tells again how far between its two ranks a percentile lies.
+    both = picked.withColumn("_k", F.lit(0)).join(sizes.withColumn("_k", F.lit(0)), [*keys, "_k"])
+    return both.select(
+        *keys,
+        *[
+            (F.col(f"_s{2 * i}") + (position(p) - F.floor(position(p))) * (F.col(f"_s{2 * i + 1}") - F.col(f"_s{2 * i}"))).alias(name)
+            for i, (name, p) in enumerate(percentiles.items())
+        ],
     )
-    fraction = F.element_at(F.array(*[F.lit(float(p)) for p in percentiles.values()]), F.col("_slot") + 1)
-    position = (F.col("_n") - 1) * fraction
 
-    def at(rank: Column) -> Column:
-        inside = (F.col("_upto") - F.col("_c") <= rank) & (rank < F.col("_upto"))
-        return F.max(F.when(inside, F.col("_v")))
 
-    picked = (
-        ranked.withColumn("_pos", position)
-        .groupBy(*keys, "_slot")
-        .agg(
-            F.first("_pos").alias("_pos"),
-            at(F.floor("_pos")).alias("_lower"),
-            at(F.ceil("_pos")).alias("_upper"),
-        )
-    )
-    below, above = F.floor("_pos"), F.ceil("_pos")
-    interpolated = F.when(below == above, F.col("_lower")).otherwise(
-        (above - F.col("_pos")) * F.col("_lower") + (F.col("_pos") - below) * F.col("_upper")
-    )
-    # A bracket that missed its rank must never pass as a result.
-    checked = F.coalesce(interpolated, F.raise_error(F.lit("percentile bracket missed")).cast("double"))
-    wide = (
-        picked.groupBy(*keys)
-        .agg(
-            *[
-                F.max(F.when(F.col("_slot") == i, checked)).alias(name)
-                for i, name in enumerate(percentiles)
-            ]
-        )
+def _narrow(rows: DataFrame, by: list[str], wanted: DataFrame, slots: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Values of the slices that hold the wanted ranks, and the ranks inside them, both by slot."""
+    fractions = [i / CUTS for i in range(1, CUTS)]
+    one = [*by, "_k"]  # a join column also where there are no keys
+    keyed = rows.withColumn("_k", F.lit(0))
+    edges = keyed.groupBy(*one).agg(F.array_distinct(F.percentile_approx("_v", fractions, ACCURACY)).alias("_edges"))
+    # Number of edges below the value: equal values share a slice.
+    slice_ = F.size(F.filter("_edges", lambda e: e < F.col("_v")))
+    cut = materialize(keyed.join(edges, one).select(*one, slice_.alias("_slice"), "_v", "_c"), "sliced-values")
+    sizes = cut.groupBy(*one, "_slice").agg(F.sum("_c").alias("_m"))
+    # At most CUTS rows a window.
+    before = F.sum("_m").over(W.partitionBy(*one).orderBy("_slice")) - F.col("_m")
+    placed = sizes.withColumn("_before", before).join(wanted.withColumn("_k", F.lit(0)), one)
+    hit = materialize(
+        placed.where((F.col("_before") <= F.col("_rank")) & (F.col("_rank") < F.col("_before") + F.col("_m"))).select(
+            *one, "_slice", *[s for s in slots if s not in by], (F.col("_rank") - F.col("_before")).alias("_rank")
+        ),
+        "slices",
     )
-    return sketch.drop("_n", "_low", "_high", "_edges").join(wide, keys, "left")
+    inside = cut.join(hit.drop("_rank"), [*one, "_slice"]).select(*slots, "_v", "_c")
+    return inside, hit.select(*slots, "_rank")

@@ -74,12 +74,3 @@ def release(spark: SparkSession) -> None:
         f"{work_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}"
     )
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """Size the optimiser assumes for a plan, without running it.
-
-    Only used to choose between two exact ways of computing the same result,
-    never to bound a broadcast.
-    """
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
