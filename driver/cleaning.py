@@ -248,7 +248,16 @@ def csv_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw export written as CSV, read back with the landing schema and cleaned."""
     path = new_path(spark, "raw-sanctioned")
     write_csv(raw_sanctioned(spark, sf_dir), path)
-    return ingest(spark, "sanctioned", path).select(*LANDED_COLUMNS)
+    return ingest(spark, "sanctioned", path, multi_line=True).select(*LANDED_COLUMNS)
+
+
+@query(LANDED)
+def csv_landing_reordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same export with its columns in reverse order and one more column: headers decide."""
+    path = new_path(spark, "raw-reordered")
+    raw = raw_sanctioned(spark, sf_dir).withColumn("Remarks of the office", F.lit("n/a"))
+    write_csv(raw.select(*[f"`{c}`" for c in reversed(raw.columns)]), path)
+    return ingest(spark, "sanctioned", path, multi_line=True).select(*LANDED_COLUMNS)
 
 
 @query(LANDED)

@@ -25,7 +25,7 @@ def value(spark, column):
 def test_csv_with_mark_quotes_breaks_footer_and_repeats(spark, tmp_path):
     path = tmp_path / "calamity.csv"
     path.write_text(CALAMITY, encoding="utf-8")
-    got = ingest(spark, "calamity", str(path)).orderBy("serial_no").collect()
+    got = ingest(spark, "calamity", str(path), multi_line=True).orderBy("serial_no").collect()
     assert [r["serial_no"] for r in got] == [1, 2]
     assert got[1]["calamity_name"] == 'Landslide "east"'
     assert got[1]["mp_name"] == "Member Two"
@@ -42,6 +42,26 @@ def test_required_and_optional_sources(spark, tmp_path):
     assert empty.isEmpty() and empty.schema == schema
 
 
+def test_headers_decide_and_must_be_there(spark, tmp_path):
+    schema = schemas.landing_schema("calamity")
+    names = schema.fieldNames()
+    line = lambda cells: ",".join(f'"{c}"' for c in cells)
+    rows = [[f"{name[:3]} {i}" for name in names] for i in range(2000)]
+    path = tmp_path / "reversed.csv"
+    path.write_text("\n".join(["\ufeff" + line(reversed(names)), *[line(reversed(r)) for r in rows]]), encoding="utf-8")
+    got = read_required(spark, str(path), schema, "calamity")
+    assert got.columns == names
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        assert read_required(spark, str(path), schema, "calamity").rdd.getNumPartitions() > 3
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    path.write_text(line(names[1:]) + "\n", encoding="utf-8")
+    with pytest.raises(ValueError, match="Sr"):
+        read_required(spark, str(path), schema, "calamity")
+
+
 def test_canonical_names():
     raw = "RECOMMENDED AMOUNT   ( ₹ )"
     assert shaping.canonical_name(raw) == "recommended_amount____₹_"

@@ -88,21 +88,18 @@ def _sanctioned_left(recommended, sanctioned, completed, payments, order) -> Dat
 
 
 def _tagged(df: DataFrame, source: str, order: str, columns: tuple[str, ...]) -> DataFrame:
-    return df.where(F.col("project_id").isNotNull()).select(
-        "project_id",
-        F.col(order).alias("_order"),
-        F.struct(*columns).alias(source),
-    )
+    first = first_per_key(df, "project_id", order)
+    return first.select("project_id", F.struct(*columns).alias(source))
 
 
 def _full_outer(recommended, sanctioned, completed, payments, order) -> DataFrame:
     """Chained full outer joins as one union and one grouping.
 
     A full outer join leaves no known partitioning, so four of them would
-    shuffle the growing result again and again. Rows of all tables are stacked
-    instead, each under its own struct column, and grouped by project once;
-    "first row per table" and the payment total are aggregates with a map-side
-    part, so a project with very many rows does not load one task.
+    shuffle the growing result again and again. Each table is cut to one row
+    per project first (a rank filter and, for payments, a hash aggregate, both
+    with a map-side part); those rows are stacked, each under its own struct
+    column, and grouped by project once.
     """
     identity = schemas.IDENTITY
     sources = {
@@ -112,20 +109,21 @@ def _full_outer(recommended, sanctioned, completed, payments, order) -> DataFram
         ),
         "recommended": (recommended, ("recommended_amount",)),
         "completed": (completed, (*identity, "completion_date", "amount_disbursed")),
-        "payment": (payments, (*schemas.PAYMENT_IDENTITY, "fund_disbursed_amount")),
+        "payment": (payments, schemas.PAYMENT_IDENTITY),
     }
     stacked = reduce(
         lambda left, right: left.unionByName(right, allowMissingColumns=True),
         [_tagged(df, name, order, columns) for name, (df, columns) in sources.items()],
     )
-    paid = F.col("payment").isNotNull()
+    totals = (
+        payments.where(F.col("project_id").isNotNull())
+        .groupBy("project_id")
+        .agg(F.sum("fund_disbursed_amount").alias("_paid"), F.count(F.lit(1)).alias("_payments"))
+    )
+    stacked = stacked.unionByName(totals, allowMissingColumns=True)
+    # One row a source at most: the first that is there is the only one.
     grouped = stacked.groupBy("project_id").agg(
-        *[
-            F.min_by(name, F.when(F.col(name).isNotNull(), F.col("_order"))).alias(name)
-            for name in sources
-        ],
-        F.sum("payment.fund_disbursed_amount").alias("_paid"),
-        F.count(F.when(paid, 1)).alias("_payments"),
+        *[F.first(name, ignorenulls=True).alias(name) for name in (*sources, "_paid", "_payments")]
     )
     has_payment = F.col("_payments") > 0
     merged = grouped.select(

@@ -85,16 +85,21 @@ def _ranked(df: DataFrame, key: str, order: Sequence[Column]) -> DataFrame:
     return ranked.where("_rank = 1").drop("_rank")
 
 
+def tie_break(df: DataFrame) -> Column:
+    """Hash of a whole row: rows that no order column tells apart always rank alike."""
+    return F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def first_per_key(df: DataFrame, key: str, order: str | Sequence[str]) -> DataFrame:
-    """Earliest row of every non-NULL key."""
+    """Earliest row of every non-NULL key; rows without an order value come after all others."""
     order = [order] if isinstance(order, str) else order
-    return _ranked(df, key, [F.col(c).asc() for c in order])
+    return _ranked(df, key, [*[F.col(c).asc_nulls_last() for c in order], tie_break(df)])
 
 
 def last_per_key(df: DataFrame, key: str, order: str | Sequence[str]) -> DataFrame:
-    """Latest row of every non-NULL key."""
+    """Latest row of every non-NULL key; rows without an order value come before all others."""
     order = [order] if isinstance(order, str) else order
-    return _ranked(df, key, [F.col(c).desc() for c in order])
+    return _ranked(df, key, [*[F.col(c).desc_nulls_last() for c in order], tie_break(df)])
 
 
 def with_row(rows: DataFrame, one_row: DataFrame) -> DataFrame:

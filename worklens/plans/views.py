@@ -100,6 +100,11 @@ def _side(df: DataFrame, name: str, order: str) -> DataFrame:
     return df.select(id_.alias("project_id"), position.cast("long").alias("_order"), F.struct(*values).alias(name))
 
 
+def _rank(source: str) -> Column:
+    """Place of a source's row: rows without an order value come before all others, ties go by content."""
+    return F.struct(F.col("_order").isNotNull().alias("known"), F.col("_order").alias("order"), F.xxhash64(source).alias("tie"))
+
+
 def project_360(sources: dict[str, DataFrame], order: str = "serial_no") -> DataFrame:
     """One row per project seen in any of the seven sources.
 
@@ -125,7 +130,7 @@ def project_360(sources: dict[str, DataFrame], order: str = "serial_no") -> Data
         stacked = stacked.withColumns(absent)
     grouped = stacked.groupBy("project_id").agg(
         *[
-            F.max_by(name, F.when(F.col(name).isNotNull(), F.col("_order"))).alias(name)
+            F.max_by(name, F.when(F.col(name).isNotNull(), _rank(name))).alias(name)
             for name in SOURCE_FIELDS
         ],
         F.coalesce(F.sum("fund_disbursed_amount"), F.lit(0.0)).alias("fund_disbursed_amount"),
