@@ -15,13 +15,16 @@ windows of ``WINDOW`` tokens, each starting from the stationary distribution
 (the first one from the initial distribution); scoring runs the scaled forward
 recursion over the whole text.
 
-Words are known by 64-bit hashes. Documents are laid out in blocks of bounded
-size that hold their own small dictionary, so counting and looking up words
-moves one row per word and block instead of one per token.
+Words are known by 64 bits, 49 of a hash and 15 that name the class. Documents
+are laid out in blocks of bounded size that hold their own small dictionary,
+so counting and looking up words moves one row per word and block instead of
+one per token. A block numbers its words by frequency and writes the numbers
+as three compressed planes of bytes.
 """
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -50,11 +53,24 @@ END_WORD = np.uint64(0xE17A1465AF8C6F05)
 END_CLASS = CLASSES  # the end token
 N_CLASSES = CLASSES + 1
 
-BLOCKS = "block string, doc_id binary, held_out binary, tokens binary, word binary, class binary, words array<long>, classes array<int>, counts array<long>"
+CLASS_BITS = np.uint64(0x7FFF)
 
+BLOCKS = "block long, doc_id binary, held_out binary, tokens binary, word binary, words array<long>, counts array<long>"
 
-def word_rows(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word hash and class of every token, the end of each text included, and where each text begins."""
+
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers below 2^24 as compressed planes of their bytes."""
+    planes = numbers.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
+    return zlib.compress(np.ascontiguousarray(planes.T).tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(3, -1).astype(np.int64)
+    return planes[0] | planes[1] << 8 | planes[2] << 16
+
+
+def word_rows(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Word of every token, its class in the low bits, the end of each text included; and where each text begins."""
     words = Words([t.lower() for t in raw])
     hashes = words.hashes()
     long_ = words.end - words.start > WHOLE_BYTES
@@ -62,7 +78,8 @@ def word_rows(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     classes = (mix(ending) % np.uint64(CLASSES)).astype(np.uint16)
     at = words.first[1:]
     first = words.first + np.arange(len(words.first))
-    return np.insert(hashes, at, END_WORD), np.insert(classes, at, END_CLASS), first
+    known = (np.insert(hashes, at, END_WORD) & ~CLASS_BITS) | np.insert(classes, at, END_CLASS).astype(np.uint64)
+    return known, first
 
 
 def blocks(docs: DataFrame, held_out) -> DataFrame:
@@ -74,20 +91,20 @@ def blocks(docs: DataFrame, held_out) -> DataFrame:
             raw_all = encoded(batch["text"].tolist())
             ids, held_all = batch["doc_id"].to_numpy(), batch["held_out"].to_numpy(bool)
             for some in spans([len(t) for t in raw_all], BLOCK_BYTES):
-                hashes, classes, first = word_rows(raw_all[some])
+                hashes, first = word_rows(raw_all[some])
                 held = held_all[some]
-                own, where, word = np.unique(hashes, return_index=True, return_inverse=True)
+                own, word, times = np.unique(hashes, return_inverse=True, return_counts=True)
+                order = np.argsort(-times, kind="stable")
+                own, word = own[order], np.argsort(order)[word]
                 learned = np.repeat(~held, np.diff(first))
                 yield pd.DataFrame(
                     {
-                        "block": [f"{part}-{number}"],
+                        "block": [part * 2**32 + number],
                         "doc_id": [ids[some].astype("<i8").tobytes()],
                         "held_out": [held.astype(np.uint8).tobytes()],
                         "tokens": [np.diff(first).astype("<i8").tobytes()],
-                        "word": [word.astype("<i4").tobytes()],
-                        "class": [classes.astype("<u2").tobytes()],
+                        "word": [packed(word)],
                         "words": [own.view(np.int64)],
-                        "classes": [classes[where].astype(np.int32)],
                         "counts": [np.bincount(word[learned], minlength=len(own))],
                     }
                 )
@@ -192,9 +209,12 @@ def expected(model: Model, classes: np.ndarray, first: np.ndarray) -> tuple[np.n
     return starts, moves * model.move, emits, loss
 
 
-def _texts(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    tokens = np.frombuffer(row["tokens"], "<i8")
-    return np.frombuffer(row["class"], "<u2").astype(np.int64), np.concatenate([[0], np.cumsum(tokens)]), np.frombuffer(row["held_out"], np.uint8).astype(bool)
+def _texts(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Class of every token, where texts begin, which are held out, and the number of every token's word."""
+    word = unpacked(row["word"])
+    classes = (np.asarray(row["words"], np.int64) & np.int64(CLASS_BITS))[word]
+    first = np.concatenate([[0], np.cumsum(np.frombuffer(row["tokens"], "<i8"))])
+    return classes, first, np.frombuffer(row["held_out"], np.uint8).astype(bool), word
 
 
 def _learned(classes: np.ndarray, first: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -214,7 +234,7 @@ def train(laid: DataFrame, prior: np.ndarray, rounds: int = ROUNDS, states: int
             total = None
             for batch in batches:
                 for _, row in batch.iterrows():
-                    classes, first = _learned(*_texts(row))
+                    classes, first = _learned(*_texts(row)[:3])
                     got = expected(sent.value, classes, first)
                     total = got if total is None else tuple(a + b for a, b in zip(total, got, strict=True))
             if total is None:
@@ -224,7 +244,7 @@ def train(laid: DataFrame, prior: np.ndarray, rounds: int = ROUNDS, states: int
             for kind, place, rows in (("start", [0], starts[None, :]), ("move", range(states), moves), ("emit", used, emits[used]), ("loss", [0], np.full((1, states), loss))):
                 yield pd.DataFrame({"kind": kind, "place": list(place), **{c: rows[:, k] for k, c in enumerate(columns)}})
 
-        read = laid.select("tokens", "class", "held_out").mapInPandas(count, schema)
+        read = laid.select("tokens", "word", "words", "held_out").mapInPandas(count, schema)
         sums_ = read.groupBy("kind", "place").agg(*[F.sum(c).alias(c) for c in columns]).toPandas()  # states by classes at most
         part = {k: g.sort_values("place") for k, g in sums_.groupby("kind")}
         if "emit" not in part or not len(part["emit"]):
@@ -250,9 +270,8 @@ def score_blocks(placed: DataFrame, model: Model, prior: np.ndarray, n: int, v:
         ratio_of, start, move = sent.value
         for batch in batches:
             for _, row in batch.iterrows():
-                classes, first, held = _texts(row)
-                word = np.frombuffer(row["word"], "<i4")
-                count = np.zeros(int(row["n_words"]))
+                classes, first, held, word = _texts(row)
+                count = np.zeros(len(row["words"]))
                 if row["known"] is not None and len(row["known"]):
                     at, c = np.array([(k["at"], k["c"]) for k in row["known"]], np.int64).T
                     count[at] = c
@@ -292,22 +311,22 @@ def score_documents(docs: DataFrame, held_out, rounds: int = ROUNDS) -> DataFram
     once each.
     """
     laid = materialize(blocks(docs, held_out), "blocks")
-    pairs = laid.select(F.explode(F.arrays_zip("words", "classes", "counts")).alias("w")).where("w.counts > 0")
-    counts = materialize(pairs.groupBy(F.col("w.words").alias("h"), F.col("w.classes").alias("class")).agg(F.sum("w.counts").alias("c")), "word-counts")
+    pairs = laid.select(F.explode(F.arrays_zip("words", "counts")).alias("w")).where("w.counts > 0")
+    counts = materialize(pairs.groupBy(F.col("w.words").alias("h")).agg(F.sum("w.counts").alias("c")), "word-counts")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     # The mass of a class is that of its smoothed words, so P(word) / P(class) is a distribution.
     prior = np.zeros(N_CLASSES)
-    for r in counts.groupBy("class").agg(F.sum(F.col("c") + PRIOR).alias("n")).collect():
+    for r in counts.groupBy(F.col("h").bitwiseAND(F.lit(int(CLASS_BITS))).alias("class")).agg(F.sum(F.col("c") + PRIOR).alias("n")).collect():
         prior[r["class"]] = r["n"]
     prior = prior / prior.sum() if n else prior
     model = train(laid, prior, rounds)[0] if n else Model.random(np.full(N_CLASSES, 1 / N_CLASSES), STATES)
     known = (
         laid.select("block", F.posexplode("words").alias("at", "h"))
-        .join(counts.select("h", "c"), "h")
+        .join(counts, "h")
         .groupBy("block")
         .agg(F.collect_list(F.struct("at", "c")).alias("known"))  # at most the words of one block
     )
-    placed = laid.select("block", "doc_id", "held_out", "tokens", "word", "class", F.size("words").alias("n_words")).join(known, "block", "left")
+    placed = laid.select("block", "doc_id", "held_out", "tokens", "word", "words").join(known, "block", "left")
     return numbered(score_blocks(placed, model, prior, int(n), int(v)))
 
 
