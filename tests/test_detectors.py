@@ -67,10 +67,10 @@ def test_exact_duplicates_are_flagged(spark, rows):
     )
     result = rows(detect_duplicates(projects).projects)
     assert result["P1"]["exact_duplicate_flag"] and result["P1"]["potential_duplicate_flag"]
-    assert result["P1"]["exact_duplicate_project_ids"] == ["P2"]
-    assert result["P2"]["exact_duplicate_project_ids"] == ["P1"]
+    assert result["P1"]["exact_group_id"] == result["P2"]["exact_group_id"] == "P1"
+    assert result["P1"]["exact_duplicate_count"] == result["P2"]["exact_duplicate_count"] == 1
     assert result["P1"]["duplicate_reason"] == "Exact description duplicate within the same constituency."
-    assert result["P3"]["exact_duplicate_project_ids"] == []
+    assert result["P3"]["exact_group_id"] is None and result["P3"]["exact_duplicate_count"] == 0
     assert not result["P3"]["potential_duplicate_flag"]
 
 
@@ -86,11 +86,11 @@ def test_similar_descriptions_stay_in_their_block(spark, rows):
     )
     found = detect_duplicates(projects, similarity_threshold=0.5)
     result = rows(found.projects)
-    assert result["P1"]["similar_project_ids"] == ["P2"]
-    assert result["P2"]["similar_project_ids"] == ["P1"]
+    assert result["P1"]["leading_similar_ids"] == ["P2"]
+    assert result["P2"]["leading_similar_ids"] == ["P1"]
     assert result["P1"]["similarity_score"] == 0.8237
     assert result["P1"]["duplicate_reason"] == "Description is similar to P2."
-    assert result["P3"]["similar_project_ids"] == []
+    assert result["P3"]["leading_similar_ids"] == []
     assert duplicate_report(found).columns[-1] == "similar_project_id"
 
 

@@ -199,7 +199,7 @@ def test_whole_job_from_raw_exports(spark, exports, mode, projects):
     first = risk["WS/MP1/2024-2025/1"]
     assert first["over_expenditure_flag"] == 1 and first["status_flag"] == 1 and first["sanction_delay_flag"] == 1
     assert risk["WS/MP4/2024-2025/4"]["exact_duplicate_flag"] == 1
-    assert risk["WS/MP4/2024-2025/4"]["exact_duplicate_project_ids"] == ["WS/MP5/2024-2025/5"]
+    assert risk["WS/MP5/2024-2025/5"]["exact_group_id"] == risk["WS/MP4/2024-2025/4"]["exact_group_id"] == "WS/MP4/2024-2025/4"
     master = {r["project_id"]: r for r in result.master.collect()}
     assert master["WS/MP1/2024-2025/1"]["total_expenditure"] == 100_000.0
     assert master["WS/MP1/2024-2025/1"]["work_type"] == ("Roads" if mode == "full_outer" else "Normal")
