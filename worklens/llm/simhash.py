@@ -84,19 +84,22 @@ class Ring:
 
     def __init__(self, bits: int, segments: int, budget: int):
         self.segments, self.budget, self.width = segments, budget, bits // 8 // segments
-        if self.width * segments * 8 != bits:
+        if self.width * segments * 8 != bits or self.width > 8:
             raise ValueError("segments must be whole bytes of equal width")
 
+    def cut(self, fp: np.ndarray) -> np.ndarray:
+        """Bytes of fingerprints as one number per segment."""
+        parts = fp.reshape(len(fp), self.segments, self.width)
+        wide = np.zeros((*parts.shape[:2], 4 if self.width <= 4 else 8), np.uint8)
+        wide[:, :, : self.width] = parts
+        return wide.view(np.uint32 if self.width <= 4 else np.uint64)[:, :, 0]
+
     def chain(self, left: np.ndarray, right: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which row pairs pass, and their distance: the chain grows one segment at a time and drops pairs over budget."""
+        """Which pairs of cut rows pass, and their distance: the chain grows one segment at a time and drops pairs over budget."""
         alive, total = np.arange(len(left)), np.zeros(len(left), np.int64)
         for k in range(self.segments):
             at = (start[alive] + k) % self.segments
-            diff = np.zeros(len(alive), np.int64)
-            for byte in range(self.width):
-                column = at * self.width + byte
-                diff += np.bitwise_count(left[alive, column] ^ right[alive, column])
-            total[alive] += diff
+            total[alive] += np.bitwise_count(left[alive, at] ^ right[alive, at])
             alive = alive[total[alive] * self.segments <= (k + 1) * self.budget]
         return alive, total[alive]
 
@@ -144,16 +147,19 @@ def links(nodes: DataFrame, bits: int = 64, segments: int = 4, budget: int = 3)
     """(a, b, distance) that connect all nodes (node, fp) the ring links; a bucket gives a spanning forest."""
     ring = Ring(bits, segments, budget)
     places = F.explode(F.sequence(F.lit(0), F.lit(segments - 1)))
-    keyed = nodes.select("node", "fp", places.alias("segment")).withColumn(
-        "value", F.substring("fp", F.col("segment") * ring.width + 1, F.lit(ring.width))
+    keyed = nodes.select("node", "fp", places.alias("segment")).select(
+        "node", "segment", F.substring("fp", F.col("segment") * ring.width + 1, F.lit(ring.width)).alias("value")
     )
     sizes = keyed.groupBy("segment", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), F.col("k")).cast("int")
     # Every two blocks of a bucket meet once; a bucket of one block is one group.
     other = F.explode(F.when(F.col("k") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("k") - 1), lambda x: x != F.col("own"))))
+    # Most nodes are alone in most of their buckets: fingerprints travel only to those they share.
+    met = keyed.join(materialize(sizes, "buckets").withColumn("k", blocks).drop("n"), ["segment", "value"])
     dealt = (
-        keyed.join(materialize(sizes, "buckets").withColumn("k", blocks).drop("n"), ["segment", "value"])
+        materialize(met, "bucket-members")
+        .join(nodes.select("node", "fp"), "node")
         .withColumn("own", own)
         .select("*", other.alias("other"))
         .select("segment", "value", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "fp")
@@ -177,7 +183,7 @@ def links(nodes: DataFrame, bits: int = 64, segments: int = 4, budget: int = 3)
     def run(batches):
         for frame in groups(batches):
             node = frame["node"].to_numpy(np.int64)
-            fp = np.frombuffer(b"".join(frame["fp"]), np.uint8).reshape(len(frame), -1)
+            fp = ring.cut(np.frombuffer(b"".join(frame["fp"]), np.uint8).reshape(len(frame), -1))
             start = frame["segment"].to_numpy(np.int64)
             edge = np.ones(len(frame), bool)
             edge[1:] = (frame[key].iloc[1:].to_numpy() != frame[key].iloc[:-1].to_numpy()).any(axis=1)
