@@ -51,6 +51,18 @@ def project_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_STORED: dict[tuple[str, str], DataFrame] = {}
+
+
+def stored_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The project view as the reports read it: built and written once per application, sorted by project."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        view = project_view(spark, sf_dir)
+        _STORED[key] = materialize(view.repartitionByRange("project_id").sortWithinPartitions("project_id"), "project-view")
+    return _STORED[key]
+
+
 VIEW = {
     **DETECTORS,
     "sanc": "SELECT * FROM works WHERE stage <> 'P'",
@@ -106,7 +118,7 @@ def project_360(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 )
 def kpi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(reports.key_figures(project_view(spark, sf_dir)), "total_sanctioned", "total_disbursed", digits=2)
+    return rounded(reports.key_figures(stored_view(spark, sf_dir)), "total_sanctioned", "total_disbursed", digits=2)
 
 
 @query(
@@ -118,22 +130,22 @@ def kpi(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 )
 def risk_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.risk_overview(project_view(spark, sf_dir))
+    return reports.risk_overview(stored_view(spark, sf_dir))
 
 
 @query(_sql("SELECT state AS label, count(*) AS value FROM view360 GROUP BY 1"))
 def state_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.state_counts(project_view(spark, sf_dir))
+    return reports.state_counts(stored_view(spark, sf_dir))
 
 
 @query(_sql("SELECT state AS label, count(*) AS value FROM view360 GROUP BY 1 ORDER BY value DESC, label LIMIT 6"))
 def top_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.leading(reports.state_counts(project_view(spark, sf_dir)))
+    return reports.leading(reports.state_counts(stored_view(spark, sf_dir)))
 
 
 @query(_sql("SELECT CASE WHEN work_status = '' THEN 'Unspecified' ELSE work_status END AS label, count(*) AS value FROM view360 GROUP BY 1"))
 def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.status_counts(project_view(spark, sf_dir))
+    return reports.status_counts(stored_view(spark, sf_dir))
 
 
 _LABEL = """CASE WHEN is_anomaly AND (is_exact OR is_potential) THEN 'High risk' WHEN is_anomaly THEN 'Cost anomaly'
@@ -147,13 +159,13 @@ _LABEL = """CASE WHEN is_anomaly AND (is_exact OR is_potential) THEN 'High risk'
     )
 )
 def top_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    largest = reports.largest_projects(project_view(spark, sf_dir))
+    largest = reports.largest_projects(stored_view(spark, sf_dir))
     return rounded(largest.select("project_id", "state", "sanction_amount", "risk_label"), "sanction_amount")
 
 
 @query(_sql(f"SELECT {_LABEL} AS risk_label, count(*) AS projects FROM flagged GROUP BY 1"))
 def risk_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labelled = project_view(spark, sf_dir).select(reports.risk_label().alias("risk_label"))
+    labelled = stored_view(spark, sf_dir).select(reports.risk_label().alias("risk_label"))
     return labelled.groupBy("risk_label").agg(F.count(F.lit(1)).alias("projects"))
 
 
@@ -166,7 +178,7 @@ def risk_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 )
 def search_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = reports.search(project_view(spark, sf_dir), " Nation_1 ", status="Work Completed", flags="duplicate")
+    found = reports.search(stored_view(spark, sf_dir), " Nation_1 ", status="Work Completed", flags="duplicate")
     return rounded(found.select("project_id", "state", "work_status", "sanction_amount"), "sanction_amount")
 
 
@@ -178,19 +190,19 @@ def search_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def search_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First page of a facet search."""
-    found = reports.search(project_view(spark, sf_dir), state="NATION_3", flags="normal")
+    found = reports.search(stored_view(spark, sf_dir), state="NATION_3", flags="normal")
     return reports.page(found).select("project_id", "state", "work_status")
 
 
 @query(_sql("SELECT count(*) AS anomalies FROM flagged WHERE is_anomaly"))
 def search_total(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = reports.search(project_view(spark, sf_dir), flags="anomaly")
+    found = reports.search(stored_view(spark, sf_dir), flags="anomaly")
     return found.agg(F.count(F.lit(1)).alias("anomalies"))
 
 
 @query(_sql("SELECT 'state' AS facet, state AS value FROM view360 GROUP BY 2 UNION ALL SELECT 'work_status', work_status FROM view360 WHERE work_status <> '' GROUP BY 2"))
 def facets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    view = project_view(spark, sf_dir)
+    view = stored_view(spark, sf_dir)
     states = reports.facet_values(view, "state").select(F.lit("state").alias("facet"), F.col("state").alias("value"))
     statuses = reports.facet_values(view, "work_status")
     return states.unionByName(statuses.select(F.lit("work_status").alias("facet"), F.col("work_status").alias("value")))
@@ -205,6 +217,6 @@ def facets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 )
 def project_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = reports.project_detail(project_view(spark, sf_dir), "WS/MP7/2024-2025/7")
+    found = reports.project_detail(stored_view(spark, sf_dir), "WS/MP7/2024-2025/7")
     columns = ("project_id", "work", "state", "disbursed_amount", "cost_anomaly", "duplicate_match")
     return rounded(found.select(*columns), "disbursed_amount")

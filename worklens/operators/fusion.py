@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from worklens.functions.values import clip
 from worklens.operators.shaping import rename_legacy, require_columns, require_unique
+from worklens.operators.similarity import SimilarTexts, neighbours
+from worklens.session import materialize
 
 LEGACY = {"anomaly_score": "cost_anomaly_score", "anomaly_reason": "cost_anomaly_reason"}
 ANOMALY_COLUMNS = ("cost_anomaly_flag", "cost_anomaly_score", "cost_anomaly_reason")
@@ -54,6 +57,34 @@ def best_similarity(pairs: DataFrame, both_sides: bool = False) -> DataFrame:
     return sides.groupBy("project_id").agg(F.max("similarity_score").alias("similarity_score"))
 
 
+def similarity_of_rows(found: SimilarTexts, both_sides: bool = False) -> DataFrame:
+    """Highest score of each project in its similar pairs, from the factored result.
+
+    By default a project counts as the first of a pair only: some similar row,
+    a copy of its own text included, comes after it. Per text only neighbours
+    matter that reach a later row than all with a higher score, so pairs of
+    rows are never listed.
+    """
+    near = neighbours(found)
+    if both_sides:
+        best = near.groupBy("text").agg(F.max("score").alias("similarity_score"))
+        return found.members.join(best, "text").select(F.col("id").alias("project_id"), "similarity_score")
+    last = found.members.groupBy("text").agg(F.max("seq").alias("last")).withColumnRenamed("text", "other")
+    before = W.partitionBy("text").orderBy(F.desc("score"), F.desc("last")).rowsBetween(W.unboundedPreceding, -1)
+    reach = (
+        near.join(last, "other")
+        .withColumn("_reached", F.max("last").over(before))
+        .where(F.col("_reached").isNull() | (F.col("last") > F.col("_reached")))
+        .select("text", "score", "last")
+    )
+    return (
+        found.members.join(materialize(reach, "text-reach"), "text")
+        .where(F.col("last") > F.col("seq"))
+        .groupBy(F.col("id").alias("project_id"))
+        .agg(F.max("score").alias("similarity_score"))
+    )
+
+
 def fuse_detectors(
     forest: DataFrame,
     zscore_ids: DataFrame,
