@@ -113,6 +113,23 @@ def zscore_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rounded(scored, "total_expenditure"), "z_score", digits=6)
 
 
+@query(
+    views.with_views(
+        "payments",
+        "totals",
+        extra={"s": "SELECT avg(total_expenditure) AS m, stddev_pop(total_expenditure) AS sd FROM totals"},
+        body="""
+        SELECT project_id, round(total_expenditure, 4) AS total_expenditure, round(abs((total_expenditure - m) / sd), 6) AS z_score
+        FROM totals, s ORDER BY round(abs((total_expenditure - m) / sd), 9) DESC, project_id LIMIT 20""",
+    )
+)
+def top_zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 projects furthest from the mean."""
+    scored = outliers.zscore_outliers(_totals(spark, sf_dir))
+    furthest = top(scored, 20, F.desc(F.round("z_score", 9))).select("project_id", "total_expenditure", "z_score")
+    return rounded(rounded(furthest, "total_expenditure"), "z_score", digits=6)
+
+
 _FENCE = """SELECT quantile_cont(total_expenditure, 0.25) AS q1, quantile_cont(total_expenditure, 0.75) AS q3 FROM totals"""
 
 

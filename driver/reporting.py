@@ -148,6 +148,16 @@ def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.status_counts(stored_view(spark, sf_dir))
 
 
+@query(
+    _sql(
+        """SELECT CASE WHEN work_status = '' THEN 'Unspecified' ELSE work_status END AS label, count(*) AS value
+        FROM view360 GROUP BY 1 ORDER BY value DESC, label LIMIT 6"""
+    )
+)
+def top_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.leading(reports.status_counts(stored_view(spark, sf_dir)))
+
+
 _LABEL = """CASE WHEN is_anomaly AND (is_exact OR is_potential) THEN 'High risk' WHEN is_anomaly THEN 'Cost anomaly'
     WHEN is_exact THEN 'Exact duplicate' WHEN is_potential THEN 'Potential duplicate' ELSE 'Normal' END"""
 

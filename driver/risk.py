@@ -10,7 +10,7 @@ from driver.lifecycle import rounded
 from driver.registry import query
 from worklens.operators import fusion, outliers, quality
 from worklens.operators.lifecycle import expenditure_summary
-from worklens.operators.rules import FLAGS, LABELS, POINTS, RiskRules, flag_counts as count_flags, score_projects
+from worklens.operators.rules import FLAGS, RiskRules, flag_counts as count_flags, score_projects
 from worklens.operators.similarity import PROJECT_MODEL
 from worklens.plans.monitoring import run
 
@@ -99,8 +99,23 @@ def _b(condition: str) -> str:
     return f"CASE WHEN {condition} THEN 1 ELSE 0 END"
 
 
-_POINTS = " + ".join(f"{name} * {points}" for name, points in POINTS.items())
-_LABELS = ", ".join(f"CASE WHEN {name} = 1 THEN '{label}' END" for name, label in LABELS.items())
+# Fixed values, written out here so that the SQL does not follow the code it checks.
+_POINTS = """delay_flag * 35 + stalled_flag * 30 + over_expenditure_flag * 30 + exact_duplicate_flag * 25 + status_flag * 20
+    + sanction_delay_flag * 15 + invalid_date_flag * 15 + cost_anomaly_flag * 15 + potential_duplicate_flag * 10
+    + low_amount_flag * 10 + pending_mark_flag * 8"""
+_LABELS = """CASE WHEN delay_flag = 1 THEN 'Project delayed beyond 1 year from sanction' END,
+    CASE WHEN stalled_flag = 1 THEN 'Incomplete and older than 1 year' END,
+    CASE WHEN pending_mark_flag = 1 THEN 'Expenditure suggests work is finished, but not yet marked complete on the portal' END,
+    CASE WHEN sanction_delay_flag = 1 THEN 'Sanction took more than 45 days after recommendation' END,
+    CASE WHEN over_expenditure_flag = 1 THEN 'Expenditure exceeds sanctioned amount' END,
+    CASE WHEN invalid_date_flag = 1 THEN 'Completion date is before sanction date' END,
+    CASE WHEN status_flag = 1 THEN 'Work status does not match completion information' END,
+    CASE WHEN low_amount_flag = 1 THEN 'Cost is below the usual Rs 2.5 lakh guideline' END,
+    CASE WHEN cost_anomaly_flag = 1 THEN 'Cost anomaly indicated by ML' END,
+    CASE WHEN exact_duplicate_flag = 1 THEN 'Exact duplicate work indicated by ML' END,
+    CASE WHEN potential_duplicate_flag = 1 THEN 'Potential similar work indicated by ML' END,
+    CASE WHEN pre_portal_flag = 1 THEN 'Recommendation/sanction predates the eSAKSHI portal (pre-FY2023-24) — underlying data may be incomplete' END,
+    CASE WHEN awaiting_sanction_flag = 1 THEN 'Not yet sanctioned — recommended only, execution has not started' END"""
 
 SCORED = {
     **DETECTORS,
