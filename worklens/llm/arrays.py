@@ -12,7 +12,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Bytes of text laid out at once. One longer text is laid out alone.
-SPAN_BYTES = 4_000_000
+SPAN_BYTES = 1_000_000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from worklens.llm.arrays import Words, ngrams, spans
 from worklens.llm.frames import NO_NUMBER, numbered, texts
 from worklens.llm.registry import query, table
+from worklens.llm.tokenization import forget
 from worklens.session import materialize
 
 N = 3
@@ -210,6 +211,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = N, window: int
         sent = spark.sparkContext.broadcast(block)
 
         def count(batches, sent=sent):
+            forget()
             block, total = sent.value, 0
             seen = np.zeros(len(block.distinct), np.int64)
             for batch in batches:
@@ -231,6 +233,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = N, window: int
         seeded = spark.sparkContext.broadcast(block)
 
         def find(batches, sent=seeded):
+            forget()
             block = sent.value
             for batch in batches:
                 raw, ids = [plain(t) for t in batch["text"]], batch["doc_id"].to_numpy()

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from worklens.llm.arrays import mix
 from worklens.llm.frames import NO_NUMBER, texts
 from worklens.llm.registry import query, table
+from worklens.llm.tokenization import forget
 from worklens.session import materialize
 
 #: Keys a shard holds on average.
@@ -193,6 +194,7 @@ def repeated_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = M
     )
 
     def probe(batches):
+        forget()
         at, arrays = None, None
         for batch in batches:
             # Rows come by shard and copy, the arrays before their probes.

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from worklens.llm.arrays import Words, encoded, ngrams, spans, sums
 from worklens.llm.frames import NO_NUMBER, numbered, share, texts
 from worklens.llm.registry import query, table
+from worklens.llm.tokenization import forget
 from worklens.session import materialize
 
 #: Buckets for words and for pairs; shapes have their own, fewer ones.
@@ -97,6 +98,7 @@ def _counts(rows: DataFrame) -> np.ndarray:
     names = [*KINDS, "target occurrences", "raw occurrences"]
 
     def count(batches):
+        forget()
         total = np.zeros((len(names), FEATURES + 1), np.int64)
         for batch in batches:
             raw, kinds, fold = encoded(batch["text"].tolist()), batch["kind"].tolist(), batch["fold"].tolist()
@@ -142,6 +144,7 @@ def _scored(rows: DataFrame, table_: np.ndarray) -> DataFrame:
     sent = rows.sparkSession.sparkContext.broadcast(table_)
 
     def score(batches):
+        forget()
         ratio = sent.value
         for batch in batches:
             raw = encoded(batch["text"].tolist())

@@ -107,6 +107,11 @@ def encoder(path: str) -> PartEncoder:
     return PartEncoder(path)
 
 
+def forget() -> None:
+    """Give back what this worker keeps for encoding; other work in the same worker calls this first."""
+    encoder.cache_clear()
+
+
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
