@@ -261,7 +261,7 @@ def train(laid: DataFrame, prior: np.ndarray, rounds: int = ROUNDS, states: int
 
 
 def score_blocks(placed: DataFrame, model: Model, prior: np.ndarray, n: int, v: int) -> DataFrame:
-    """Scores from blocks joined with the corpus counts of their words (``known``: index and count)."""
+    """Scores from blocks joined with the corpus counts of their words (index and count side by side)."""
     # A class without words in training is never asked for: its words are unknown.
     ratios = np.divide(model.emit, prior[None, :], out=np.ones_like(model.emit), where=prior[None, :] > 0)
     sent = placed.sparkSession.sparkContext.broadcast((np.ascontiguousarray(ratios.T), model.start, model.move))
@@ -272,9 +272,8 @@ def score_blocks(placed: DataFrame, model: Model, prior: np.ndarray, n: int, v:
             for _, row in batch.iterrows():
                 classes, first, held, word = _texts(row)
                 count = np.zeros(len(row["words"]))
-                if row["known"] is not None and len(row["known"]):
-                    at, c = np.array([(k["at"], k["c"]) for k in row["known"]], np.int64).T
-                    count[at] = c
+                if row["known_at"] is not None and len(row["known_at"]):
+                    count[np.asarray(row["known_at"], np.int64)] = np.asarray(row["known_c"], np.int64)
                 base = np.log10((count + PRIOR) / (n + PRIOR * (v + 1)))
                 gain = np.zeros(len(first) - 1)
                 for some in spans(np.diff(first).tolist(), HELD_TOKENS):
@@ -324,7 +323,8 @@ def score_documents(docs: DataFrame, held_out, rounds: int = ROUNDS) -> DataFram
         laid.select("block", F.posexplode("words").alias("at", "h"))
         .join(counts, "h")
         .groupBy("block")
-        .agg(F.collect_list(F.struct("at", "c")).alias("known"))  # at most the words of one block
+        .agg(F.collect_list(F.struct("at", "c")).alias("k"))  # at most the words of one block
+        .select("block", F.col("k.at").alias("known_at"), F.col("k.c").alias("known_c"))
     )
     placed = laid.select("block", "doc_id", "held_out", "tokens", "word", "words").join(known, "block", "left")
     return numbered(score_blocks(placed, model, prior, int(n), int(v)))
