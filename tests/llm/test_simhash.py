@@ -110,3 +110,27 @@ def test_near_duplicates_of_odd_rows(docs):
     assert len(got) == len(ODD)
     by = dict(got)
     assert by[2] == 1 and by[4] == by[5] == 3 and by[None] is None and by[10] == 10
+
+
+def test_block_edits_near_the_threshold(docs):
+    """Appended, cut off and replaced blocks at shingle similarity 0.8 to 0.95, against all pairs."""
+    rng = random.Random(11)
+    rows = {}
+    for i in range(60):
+        base = [f"t{i}w{k}" for k in range(400)]
+        more = [f"t{i}n{k}" for k in range(400)]
+        alike = (0.80, 0.82, 0.85, 0.90, 0.95)[i % 5]
+        if i % 3 == 0:
+            near = base + more[: int(396 / alike) - 396]
+        elif i % 3 == 1:
+            near = base[: int(396 * alike) + 5]
+        else:
+            n = int(396 * (1 - alike) / (1 + alike)) - 4
+            at = rng.randrange(0, 400 - n)
+            near = base[:at] + more[:n] + base[at + n :]
+        rows |= {2 * i: " ".join(base), 2 * i + 1: " ".join(near)}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in rows.items())}
+    linked = [(a, b) for a, b in itertools.combinations(rows, 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert len(linked) >= 55
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicate_groups(docs(rows)).collect()}
+    assert got == closed(rows, linked)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +34,23 @@ def share(doc_id: Column, parts: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % parts
 
 
+def whole_groups(batches: Iterator[pd.DataFrame], key: list[str]) -> Iterator[pd.DataFrame]:
+    """Frames of whole groups of sorted rows: a group that goes on in the next batch waits for it."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        going = (batch[key] == batch[key].iloc[-1]).all(axis=1).to_numpy()
+        if held and going.all() and (held[-1][key].iloc[-1] == batch[key].iloc[0]).all():
+            held.append(batch)
+            continue
+        whole = pd.concat([*held, batch], ignore_index=True)
+        going = (whole[key] == whole[key].iloc[-1]).all(axis=1).to_numpy()
+        held = [whole[going]]
+        if not going.all():
+            yield whole[~going]
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 def delete(spark: SparkSession, frame: DataFrame) -> None:
     """Remove the files of a cut point that nothing will read again."""
     for name in frame.inputFiles()[:1]:
