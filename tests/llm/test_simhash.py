@@ -5,6 +5,7 @@ import numpy as np
 import xxhash
 from conftest_llm import ODD
 
+from worklens.llm import near_duplicates as near
 from worklens.llm import simhash
 from worklens.llm.components import components
 from worklens.llm.near_duplicates import near_duplicate_groups
@@ -134,3 +135,27 @@ def test_block_edits_near_the_threshold(docs):
     assert len(linked) >= 55
     got = {r["doc_id"]: r["component_id"] for r in near_duplicate_groups(docs(rows)).collect()}
     assert got == closed(rows, linked)
+
+
+def test_every_possible_pair_of_a_large_bucket():
+    """A first text near to none hides nothing: all pairs of different groups come out in the last round."""
+    n = 50
+    node, size, place = np.arange(n), np.full(n, 100), np.zeros(n, np.int64)
+    pairs = {(int(a), int(b)) for x, y in near.bucket_pairs(node, size, place, node.copy(), 0.8, True, True) for a, b in zip(x, y, strict=True)}
+    assert pairs == set(itertools.combinations(range(n), 2))
+    label = np.arange(n) % 2
+    pairs = {(int(a), int(b)) for x, y in near.bucket_pairs(node, size, place, label, 0.8, True, True) for a, b in zip(x, y, strict=True)}
+    assert pairs == {(a, b) for a, b in itertools.combinations(range(n), 2) if (a - b) % 2}
+
+
+
+def test_links_behind_a_text_that_only_looks_near(docs, monkeypatch):
+    """Texts 1 and 2 are near and meet only where the shorter text 0 may be near to both, and is not."""
+    monkeypatch.setattr(near, "SMALL", 2)
+    run = lambda name, n: [f"{name}{k}" for k in range(n)]
+    core, passage, other = run("core", 104), run("passage", 64), run("other", 69)
+    rows = {0: other + run("z", 1) + core, 1: passage + run("x", 14) + core, 2: passage + run("y", 14) + core}
+    for k in range(10):
+        rows |= {10 + k: passage + run(f"p{k}w", 300), 30 + k: other + run(f"o{k}w", 300)}
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicate_groups(docs({i: " ".join(w) for i, w in rows.items()})).collect()}
+    assert got == {i: i for i in rows} | {2: 1}
