@@ -109,6 +109,22 @@ def test_benchmark_copies(spark, docs):
     assert decontamination.contamination(docs(rows), bench.where("false")).collect() == []
 
 
+@pytest.mark.parametrize("original", [False, True])
+def test_evenly_edited_copies(spark, docs, original):
+    """Every fifth or sixth word changed, without six unbroken words of the item in the corpus or beside the original."""
+    rng = random.Random(4)
+    filler = lambda: " ".join(f"f{rng.randrange(5000)}" for _ in range(80))
+    items = {i: [f"i{i}w{k}" for k in range(40)] for i in range(12)}
+    rows = {}
+    for i, words in items.items():
+        near = [f"e{i}x{k}" if k % (5 + i % 2) == 2 else w for k, w in enumerate(words)]
+        rows[i] = f"{filler()} {' '.join(near)} {filler()}"
+        rows[100 + i] = f"{filler()} {' '.join(words)} {filler()}" if original else filler()
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.contamination(docs(rows), bench).collect()}
+    assert got == {(i, i) for i in items} | ({(100 + i, i) for i in items} if original else set())
+
+
 def test_alignment_equals_the_plain_recursion():
     rng = np.random.default_rng(5)
     items = [rng.integers(0, 4, n).astype(np.uint64) << np.uint64(2) for n in (3, 9, 14)]

@@ -3,9 +3,10 @@
 Test items are taken in blocks of bounded size, each block against all
 documents. First pass over the documents: how often does every n-gram of the
 block occur in the corpus? From every ``window`` neighbouring n-grams of an
-item the rarest becomes a seed, so a passage that shares ``n + window - 1``
-words in a row with an item always shares a seed with it. Second pass: seeds
-met in a document point to a stretch of it, the stretch is aligned with the
+item the rarest that the corpus has becomes a seed, so a passage that shares
+``n + window - 1`` words in a row with an item always shares a seed with it;
+rare n-grams are seeds besides, wherever edits stand. Second pass: seeds met
+in a document point to a stretch of it, the stretch is aligned with the
 item word by word, and the alignment's score says how much of the item is
 there, edits included.
 
@@ -34,6 +35,8 @@ WINDOW = 4
 BLOCK_WORDS = 1_000_000
 #: A seed seen at most once in so many corpus words is rare enough to count alone; others must meet in twos.
 RARE_EVERY = 100_000
+#: Seen at most so often, every n-gram is a seed, however small the corpus.
+FEW = 16
 #: Share of the best possible score from which a document holds an item.
 LEAST = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -64,19 +67,23 @@ class Block:
         self.distinct = np.unique(self.gram)
 
     def seed(self, counts: dict[int, int], corpus_words: int) -> None:
-        """Keep the rarest n-gram of every window as a seed; ties go to the smaller hash."""
+        """Keep the rarest n-gram of every window that the corpus has, ties going to the smaller hash, and all rare or few ones."""
         seen = np.array([counts.get(int(g), 0) for g in self.distinct.view(np.int64)], np.int64)
         count = seen[np.searchsorted(self.distinct, self.gram)]
-        rank = np.lexsort((self.gram, count)).argsort()
+        # What an edit made has no place in the corpus: it must not stand in for an n-gram beside it.
+        rank = np.lexsort((self.gram, count, count == 0)).argsort()
         keep = np.zeros(len(self.gram), bool)
         edges = np.flatnonzero(np.diff(np.concatenate([[-1], self.of, [-1]])))
         for a, b in zip(edges[:-1], edges[1:], strict=True):
             for k in range(a, max(a + 1, b - self.window + 1)):
                 keep[k + int(rank[k : min(b, k + self.window)].argmin())] = True
         keep &= count > 0
+        rare = count * RARE_EVERY <= max(corpus_words, RARE_EVERY)
+        self.single = np.bincount(self.of[keep], minlength=len(self.item)) == 1
+        keep |= (rare | (count <= FEW)) & (count > 0)
         order = np.flatnonzero(keep)[np.argsort(self.gram[keep], kind="stable")]
         self.seed_gram, self.seed_of, self.seed_at = self.gram[order], self.of[order], self.at[order]
-        self.seed_rare = count[order] * RARE_EVERY <= max(corpus_words, RARE_EVERY)
+        self.seed_rare = rare[order]
         del self.gram, self.of, self.at
 
 
@@ -147,10 +154,9 @@ def _findings(block: Block, words: Words, least: float) -> list[tuple[int, int,
     rare = np.bincount(group, block.seed_rare[seed]) > 0
     several = np.bincount(group[1:], (seed[1:] != seed[:-1]) & (group[1:] == group[:-1]), minlength=group[-1] + 1) > 0
     # An item with a single seed cannot give two.
-    seeds_of = np.bincount(block.seed_of, minlength=len(block.item))
     start = np.flatnonzero(new)
     last = np.append(start[1:], len(text)) - 1
-    take = np.flatnonzero(rare | several | (seeds_of[item[start]] == 1))
+    take = np.flatnonzero(rare | several | block.single[item[start]])
     jobs = []
     for g in take.tolist():
         t, m, s = int(text[start[g]]), int(item[start[g]]), int(slack[start[g]])
