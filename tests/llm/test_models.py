@@ -165,6 +165,21 @@ def test_classifier_on_unlabelled_rows(spark, docs):
             assert r["keep"] == (r["doc_id"] % 5 not in (1, 2))
 
 
+def test_long_clean_documents_are_kept(spark, docs):
+    """Clean texts say a telling word now and then: a long one is as clean as the short ones it is made of."""
+    rng = random.Random(9)
+    plain, bad = [f"plain{i}" for i in range(300)], ["nasty", "vile", "awful", "grim", "foul", "rank"]
+
+    def text(words, harsh):
+        return " ".join(rng.choice(bad) if rng.random() < harsh else rng.choice(plain) for _ in range(words))
+
+    rows = {i: text(60, 0.1 if i % 4 == 1 else 0.003) for i in range(800)}
+    long = {1_000 + i: text(20_000, 0.003) for i in range(6)} | {2_000 + i: text(20_000, 0.1) for i in range(6)}
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 1)) for i in rows], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r["keep"] for r in quality.classify(docs(rows | long), labels).collect()}
+    assert all(got[1_000 + i] for i in range(6)) and not any(got[2_000 + i] for i in range(6))
+
+
 def test_classifier_without_labels(spark, docs):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert all(r["keep"] for r in quality.classify(docs(ODD), none).collect())

@@ -10,9 +10,11 @@ replacement from the target-like distribution.
 A document is rejected when the ratio target : avoided falls below a threshold
 for some kind. That ratio counts a feature once per document and only if it
 tells of the avoided kind: in at least ``STRENGTH`` times the share of its
-documents, and beyond chance by the likelihood ratio. It is then a sum over a
-few telling features and does not drift with the length or the language of a
-document. Half of the labelled rows are counted, copies of a text once; the
+documents, and beyond chance by the likelihood ratio. A longer clean text has
+more of them by chance. So the sum is taken against what target text of that
+length has on average, in units of its spread (of at least 1): clean texts of
+any length lie around 0. A text of more than ``STRETCH`` features is summed by
+stretches, because in the whole of it every feature would occur. Half of the labelled rows are counted, copies of a text once; the
 other half sets the thresholds.
 """
 
@@ -140,7 +142,44 @@ def ratios(counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def _scored(rows: DataFrame, table_: np.ndarray) -> DataFrame:
+#: Occurrences of features in a stretch, and the lengths at which ``expected`` is worked out.
+STRETCH = 2_000
+LENGTHS = np.concatenate([[0.0], np.geomspace(1, STRETCH, 200)])
+
+
+def expected(counts: np.ndarray, table_: np.ndarray) -> np.ndarray:
+    """By avoided kind and length of ``LENGTHS``: mean and variance of the sum of ratios in target text."""
+    occurs = counts[len(KINDS), :-1]
+    out = np.zeros((len(KINDS) - 1, 2, len(LENGTHS)))
+    for k in range(1, len(KINDS)):
+        on = np.flatnonzero(table_[k])
+        rate = (occurs[on] + 0.5) / max(1.0, occurs.sum())
+        for at, length in enumerate(LENGTHS):
+            absent = np.exp(-rate * length)
+            out[k - 1, 0, at] = table_[k][on] @ (1 - absent)
+            out[k - 1, 1, at] = table_[k][on] ** 2 @ (absent * (1 - absent))
+    return out
+
+
+def against_usual(feature: np.ndarray, first: np.ndarray, ratio: np.ndarray, usual: np.ndarray) -> np.ndarray:
+    """By text: its sum of ratios less that of target text of its length, over the spread of the latter."""
+    size = np.diff(first)
+    stretches = np.maximum(1, -(-size // STRETCH))
+    owner = np.repeat(np.arange(len(size)), size)
+    # Words, pairs and shapes of a text follow each other, each in the order of the text.
+    family = owner * 3 + (feature >= WORD_BUCKETS) + (feature >= WORD_BUCKETS + PAIR_BUCKETS)
+    count = np.bincount(family, minlength=3 * len(size))
+    place = np.arange(len(feature)) - (np.cumsum(count) - count)[family]
+    stretch = (np.cumsum(stretches) - stretches)[owner] + place * stretches[owner] // count[family]
+    on = ratio[feature] < 0
+    own = np.unique(stretch[on] * np.int64(FEATURES) + feature[on])
+    text = np.repeat(np.arange(len(size)), stretches)[own // FEATURES]
+    total = np.bincount(text, ratio[own % FEATURES], minlength=len(size))
+    mean, variance = (stretches * np.interp(size / stretches, LENGTHS, u) for u in usual)
+    return (total - mean) / np.sqrt(1 + variance)
+
+
+def _scored(rows: DataFrame, table_: np.ndarray, usual: np.ndarray) -> DataFrame:
     sent = rows.sparkSession.sparkContext.broadcast(table_)
 
     def score(batches):
@@ -151,12 +190,7 @@ def _scored(rows: DataFrame, table_: np.ndarray) -> DataFrame:
             for some in spans([len(t) for t in raw]):
                 feature, first = features(raw[some])
                 part = batch.iloc[some]
-                owner = np.repeat(np.arange(len(raw[some])), np.diff(first))
-                tells = {}
-                for i, k in enumerate(KINDS[1:]):
-                    on = ratio[i + 1][feature] < 0
-                    own = np.unique(owner[on] * np.int64(FEATURES) + feature[on])
-                    tells[k] = np.bincount(own // FEATURES, ratio[i + 1][own % FEATURES], minlength=len(part))
+                tells = {k: against_usual(feature, first, ratio[i + 1], usual[i]) for i, k in enumerate(KINDS[1:])}
                 yield pd.DataFrame(
                     {
                         "doc_id": part["doc_id"],
@@ -188,7 +222,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, log_weight, poor, toxic, keep) of every row.
 
     ``poor`` and ``toxic`` are log ratios target : that kind over telling
-    features; ``keep`` is false where one is below its threshold. A missing or
+    features, against those of target text of the same length; ``keep`` is false where one is below its threshold. A missing or
     empty text has no features: all ratios 0, kept. Without labelled rows of a
     kind nothing is rejected for it. Labels of unknown documents do not count;
     a label table's own texts or further columns are not read.
@@ -200,7 +234,9 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     first = rows.where("kind IS NOT NULL").groupBy(F.xxhash64("text").alias("h")).agg(F.min("doc_id").alias("doc_id"))
     chosen = materialize(chosen.join(first.select("doc_id"), "doc_id", "left_semi"), "labelled-once")
     rows = texts(docs).join(F.broadcast(chosen), "doc_id", "left").withColumn("fold", F.coalesce("fold", F.lit(-1)).cast("int"))
-    scored = materialize(_scored(rows, ratios(_counts(rows))), "quality")
+    counts = _counts(rows)
+    table_ = ratios(counts)
+    scored = materialize(_scored(rows, table_, expected(counts, table_)), "quality")
     held = scored.where("fold = 1").select("kind", *KINDS[1:]).toPandas()
     clean = held[held["kind"] == "target"]
     cuts = {k: threshold(clean[k].to_numpy(), held.loc[held["kind"] == k, k].to_numpy()) for k in KINDS[1:]}
