@@ -190,3 +190,26 @@ def test_near_classes_by_bands(docs):
     assert all(got[200 + k] == got[k] for k in range(12))
     assert sum(got[100 + k] == k for k in range(12)) >= 11
     assert all(got[k] == k for k in range(12))
+
+
+def test_near_classes_in_a_crowded_band(spark, monkeypatch):
+    """Two near fingerprints, unlike in their first signs, between many unrelated ones of the same band: against all pairs."""
+    monkeypatch.setattr(edit_fingerprint, "BLOCK", 100)
+    rng = np.random.default_rng(12)
+    picks = sorted(np.random.default_rng(73).choice(edit_fingerprint.CELLS, 6, replace=False).tolist())
+    letters = np.array(list("ACGT"))
+    signs = letters[rng.integers(0, 4, (400, edit_fingerprint.CELLS))]
+    for k in range(0, 40, 2):
+        signs[k + 1] = signs[k]
+        free = [c for c in range(edit_fingerprint.CELLS) if c not in picks][:10]
+        signs[k + 1, free] = np.where(signs[k, free] == "A", "T", "A")
+    signs[:, picks] = "C"
+    names = rng.permutation(400).tolist()
+    rows = [(n, "".join(s)) for n, s in zip(names, signs, strict=True)]
+    got = {r["doc_id"]: r["class_id"] for r in edit_fingerprint.near_duplicates(spark.createDataFrame(rows, "doc_id long, fingerprint string")).collect()}
+    expect = {n: n for n in names}
+    for i in range(400):
+        for j in np.flatnonzero((signs == signs[i]).mean(axis=1) >= 0.8).tolist():
+            low = min(expect[names[i]], expect[names[j]])
+            expect[names[i]] = expect[names[j]] = low
+    assert got == expect and sum(a != b for a, b in got.items()) == 20

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from worklens.llm.arrays import encoded, mix, random_table, spans
 from worklens.llm.components import components
-from worklens.llm.frames import NO_NUMBER, numbered, texts
+from worklens.llm.frames import NO_NUMBER, numbered, texts, whole_groups
 from worklens.llm.registry import query, table
 from worklens.session import materialize
 
@@ -240,15 +240,32 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return texts(docs).mapInPandas(run, "doc_id long, fingerprint string")
 
 
+#: Members of a band's bucket compared in one task.
+BLOCK = 4096
+
+
+def linked(node: np.ndarray, signs: np.ndarray, least: float) -> np.ndarray:
+    """Spanning forest (two rows of nodes) of all pairs whose share of equal signs is ``least`` or more."""
+    group, out = np.arange(len(node)), []
+    for k in range(len(node) - 1):
+        rest = np.flatnonzero(group[k + 1 :] != group[k]) + k + 1
+        near = rest[(signs[rest] == signs[k]).mean(axis=1) >= least]
+        others, first = np.unique(group[near], return_index=True)
+        if len(others):
+            out.append(np.stack([np.full(len(first), node[k]), node[near[first]]]))
+            group[np.isin(group, others)] = group[k]
+    return np.concatenate([np.zeros((2, 0), np.int64), *out], axis=1)
+
+
 def near_duplicates(prints: DataFrame, least: float = 0.8, bands: int = 16, cells: int = 6) -> DataFrame:
     """(doc_id, class_id) by bands of sampled cells and verification on all cells.
 
     A band is ``cells`` cells drawn at random; two fingerprints that agree in
     all cells of some band are compared in full and linked at likeness
-    ``least`` or more. Equal fingerprints are one representative. In a band's
-    bucket each representative meets its neighbours in the order of the whole
-    fingerprint and the bucket's least one, so a bucket of n gives 2n pairs
-    however large it is.
+    ``least`` or more. Equal fingerprints are one representative. All members
+    of a band's bucket are compared; a bucket of more than ``BLOCK`` is cut
+    into blocks and every two blocks meet in a task of their own. Of the links
+    found there a spanning forest is handed on.
     """
     known = prints.where(F.col("doc_id") != NO_NUMBER)
     nodes = materialize(known.groupBy("fingerprint").agg(F.min("doc_id").alias("node")), "print-nodes")
@@ -256,25 +273,27 @@ def near_duplicates(prints: DataFrame, least: float = 0.8, bands: int = 16, cell
     picks = [sorted(rng.choice(CELLS, cells, replace=False).tolist()) for _ in range(bands)]
     keys = F.array(*[F.concat(F.lit(f"{b}:"), *[F.substring("fingerprint", c + 1, 1) for c in pick]) for b, pick in enumerate(picks)])
     keyed = nodes.select("node", "fingerprint", F.explode(keys).alias("band"))
-    sorted_ = keyed.repartitionByRange("band", "fingerprint").sortWithinPartitions("band", "fingerprint")
-
-    def neighbours(batches):
-        held = None
-        for batch in batches:
-            batch = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            same = (batch["band"].to_numpy()[1:] == batch["band"].to_numpy()[:-1])
-            a, b = batch.iloc[:-1][same], batch.iloc[1:][same]
-            alike = likeness(a["fingerprint"].tolist(), b["fingerprint"].tolist())
-            ok = alike >= least
-            yield pd.DataFrame({"a": a["node"].to_numpy()[ok], "b": b["node"].to_numpy()[ok]})
-            held = batch.iloc[-1:]
-
-    near = sorted_.mapInPandas(neighbours, "a long, b long")
-    head = keyed.groupBy("band").agg(F.min(F.struct("node", "fingerprint")).alias("h"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    star = keyed.join(materialize(head, "bands"), "band").where("node <> h.node")
-    equal = sum((F.substring("fingerprint", c + 1, 1) == F.substring("h.fingerprint", c + 1, 1)).cast("int") for c in range(CELLS))
-    star = star.where(equal >= least * CELLS).select(F.col("h.node").alias("a"), F.col("node").alias("b"))
-    groups = components(materialize(near.unionByName(star).distinct(), "print-links"), "a", "b")
+    sizes = keyed.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    blocks = materialize(sizes.select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("k")), "bands")
+    own = F.pmod(F.xxhash64("node"), F.col("k")).cast("int")
+    other = F.explode(F.when(F.col("k") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("k") - 1), lambda x: x != F.col("own"))))
+    dealt = keyed.join(blocks, "band").withColumn("own", own).select("*", other.alias("other"))
+    dealt = dealt.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "fingerprint")
+    key = ["band", "i", "j"]
+
+    def compare(batches):
+        for frame in whole_groups(batches, key):
+            node = frame["node"].to_numpy(np.int64)
+            signs = np.frombuffer("".join(frame["fingerprint"]).encode(), np.uint8).reshape(len(frame), -1)
+            edge = np.ones(len(frame), bool)
+            edge[1:] = (frame[key].iloc[1:].to_numpy() != frame[key].iloc[:-1].to_numpy()).any(axis=1)
+            first = np.flatnonzero(edge)
+            out = [linked(node[a:b], signs[a:b], least) for a, b in zip(first, np.append(first[1:], len(frame)), strict=True)]
+            a, b = np.concatenate([np.zeros((2, 0), np.int64), *out], axis=1)
+            yield pd.DataFrame({"a": a, "b": b})
+
+    near = dealt.repartition(*key).sortWithinPartitions(*key).mapInPandas(compare, "a long, b long")
+    groups = components(materialize(near.distinct(), "print-links"), "a", "b")
     named = nodes.join(groups, "node", "left").select("fingerprint", F.coalesce("component", "node").alias("class_id"))
     return numbered(prints.join(materialize(named, "print-classes"), "fingerprint", "left").select("doc_id", "class_id"))
 
