@@ -234,6 +234,25 @@ def test_long_passages_are_found_and_cut(docs):
     assert chunk_dedup.repeated_passages(docs([])).collect() == []
 
 
+def test_chunks_met_in_many_places_are_no_passage(docs):
+    """A fresh text whose every chunk is known from another document, no eight words in a row from one."""
+    rng = random.Random(19)
+    words = [f"{rng.choice('abcdefgh')}{rng.randrange(10**6)}" for _ in range(300)]
+    text = " ".join(words).encode()
+    chunks = chunk_dedup.Chunks([text])
+    parts = [text[a : a + n].decode() for a, n in zip(chunks.start.tolist(), chunks.size.tolist(), strict=True)]
+    rows = {}
+    for i, part in enumerate(parts):
+        # The cut at a chunk's two ends depends on the bytes before them: the word before goes along.
+        before = parts[i - 1].split()[-2:] if i else []
+        rows[i] = " ".join([f"q{i}r{rng.randrange(10**6)}" for _ in range(9)] + before + [part] + [f"s{i}t{rng.randrange(10**6)}" for _ in range(9)])
+    rows[1000] = text.decode()
+    rows[1001] = f"{rows[1000]} and more"
+    far = {i for i, part in enumerate(parts) if len(part.split()) >= 6}
+    got = {r["doc_id"]: r for r in chunk_dedup.repeated_passages(docs({i: t for i, t in rows.items() if i not in far})).collect()}
+    assert set(got) == {1001} and got[1001]["kept_in"] == 1000 and got[1001]["words"] >= 290
+
+
 def test_cuts_move_only_near_an_insertion():
     rng = random.Random(17)
     words = [f"w{rng.randrange(10**5)}" for _ in range(400)]

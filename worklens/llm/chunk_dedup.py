@@ -3,10 +3,12 @@
 A gear hash rolls over the bytes of a text; where it is a multiple of
 ``EVERY`` at the end of a word, a chunk ends. The cut depends on the last
 ``WINDOW_BYTES`` bytes alone, so an insertion moves cuts only near itself and
-a passage is cut alike wherever it stands. Chunks are a few words each; a
-chunk whose digest another document of a smaller number has, or an earlier
-place of the same document, is repeated. Neighbouring repeated chunks of at
-least ``LEAST_WORDS`` words together are a repeated passage.
+a passage is cut alike wherever it stands. Chunks are a few words each, and
+many a chunk is met elsewhere by chance; so each is taken with the chunks after
+it, or before it, as far as ``CONTEXT_WORDS`` words need. Such a stretch whose
+digest another document of a smaller number has, or an earlier place of the
+same document, is repeated. Overlapping repeated stretches of at least
+``LEAST_WORDS`` words together are a repeated passage.
 
 Short chunks find passages from about twice ``LEAST_WORDS`` words on; a
 passage loses at its two ends what the cuts leave over.
@@ -29,6 +31,8 @@ WINDOW_BYTES = 16
 #: Words between two cuts on average.
 EVERY = 3
 LEAST_WORDS = 20
+#: Words in a row that a chunk and its neighbours must share with one earlier place.
+CONTEXT_WORDS = 8
 
 
 def gear(buffer: np.ndarray) -> np.ndarray:
@@ -69,14 +73,42 @@ class Chunks:
         self.again[order[1:]] = (self.digest[order[1:]] == self.digest[order[:-1]]) & (self.text[order[1:]] == self.text[order[:-1]])
 
 
-def chunk_rows(docs: DataFrame, every: int = EVERY, wide: bool = True) -> DataFrame:
-    """One row per chunk, or with ``wide`` off (digest, doc_id), once per document."""
+class Stretches:
+    """Runs of chunks of ``context`` words or a little more: one from each chunk on, and one up to each chunk where none of those ends."""
+
+    def __init__(self, c: Chunks, context: int):
+        n, total = len(c.text), np.concatenate([[0], np.cumsum(c.words)])
+        last = np.searchsorted(total, total[:-1] + context) - 1
+        first = np.flatnonzero(last < n)
+        first = first[c.text[last[first]] == c.text[first]]
+        last = last[first]
+        rest = np.setdiff1d(np.arange(n), last)
+        begin = np.searchsorted(total, total[rest + 1] - context, "right") - 1
+        whole = (begin >= 0) & (c.text[begin] == c.text[rest])
+        first, last = np.concatenate([first, begin[whole]]), np.concatenate([last, rest[whole]])
+        self.text = c.text[first]
+        self.place = total[first] - total[np.searchsorted(c.text, self.text)]
+        self.words = total[last + 1] - total[first]
+        self.start, self.size = c.start[first], c.start[last] + c.size[last] - c.start[first]
+        digest = np.zeros(len(first), np.uint64)
+        for k in range(int((last - first).max(initial=-1)) + 1):
+            more = first + k <= last
+            digest[more] = mix(digest[more] * np.uint64(0x9E3779B97F4A7C15) + c.digest[first[more] + k].view(np.uint64))
+        self.digest = digest.view(np.int64)
+        # Not the first of its digest in its text.
+        order = np.lexsort((self.place, self.digest, self.text))
+        self.again = np.zeros(len(first), bool)
+        self.again[order[1:]] = (self.digest[order[1:]] == self.digest[order[:-1]]) & (self.text[order[1:]] == self.text[order[:-1]])
+
+
+def stretch_rows(docs: DataFrame, every: int = EVERY, context: int = CONTEXT_WORDS, wide: bool = True) -> DataFrame:
+    """One row per stretch of chunks, or with ``wide`` off (digest, doc_id), once per document."""
 
     def run(batches):
         for batch in batches:
             raw, ids = encoded(batch["text"].tolist()), batch["doc_id"].to_numpy()
             for some in spans([len(t) for t in raw]):
-                c = Chunks(raw[some], every)
+                c = Stretches(Chunks(raw[some], every), context)
                 frame = pd.DataFrame({"digest": c.digest, "doc_id": ids[some][c.text]})
                 if wide:
                     yield frame.assign(place=c.place, start=c.start, size=c.size, words=c.words, again=c.again)
@@ -90,27 +122,27 @@ def chunk_rows(docs: DataFrame, every: int = EVERY, wide: bool = True) -> DataFr
 def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, every: int = EVERY) -> DataFrame:
     """(doc_id, start, size, words, kept_in): passages to drop, in bytes of the UTF-8 text.
 
-    ``kept_in`` is the least document that keeps a chunk of the passage. The
-    first place of a chunk, by doc_id and then by place, is never dropped.
+    ``kept_in`` is the least document that keeps a stretch of the passage. The
+    first place of a stretch, by doc_id and then by place, is never dropped.
     Missing and empty texts have no chunks; rows without a number take no
     part; rows that share a number and a text are one document.
     """
-    held = chunk_rows(docs, every, wide=False).groupBy("digest").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last"))
-    shared = materialize(held.where("last <> keeper").drop("last"), "shared-chunks")
-    rows = chunk_rows(docs, every)
+    context = min(CONTEXT_WORDS, least_words)
+    held = stretch_rows(docs, every, context, wide=False).groupBy("digest").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last"))
+    shared = materialize(held.where("last <> keeper").drop("last"), "shared-stretches")
+    rows = stretch_rows(docs, every, context)
     elsewhere = rows.where("NOT again").join(shared, "digest").where("doc_id <> keeper").drop("digest")
     here = rows.where("again").withColumn("keeper", F.col("doc_id")).select(elsewhere.columns)
     dropped = elsewhere.unionByName(here)
 
-    order = W.partitionBy("doc_id").orderBy("place")
-    fresh = F.coalesce(F.col("place") > F.lag("place").over(order) + 1, F.lit(True)).cast("int")
-    runs = dropped.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(order))
-    # Rows that share a number and a text give each place twice.
-    one = runs.dropDuplicates(["doc_id", "run", "place"])
-    passages = one.groupBy("doc_id", "run").agg(
+    order = W.partitionBy("doc_id").orderBy("place", "words")
+    # Words up to which the stretches before reach: one that only touches them was not met beside them.
+    reach = F.max(F.col("place") + F.col("words")).over(order.rowsBetween(W.unboundedPreceding, -1))
+    runs = dropped.withColumn("fresh", F.coalesce(F.col("place") >= reach, F.lit(True)).cast("int")).withColumn("run", F.sum("fresh").over(order))
+    passages = runs.groupBy("doc_id", "run").agg(
         F.min("start").alias("start"),
         F.max(F.col("start") + F.col("size")).alias("end"),
-        F.sum("words").alias("words"),
+        (F.max(F.col("place") + F.col("words")) - F.min("place")).cast("long").alias("words"),
         F.min("keeper").alias("kept_in"),
     )
     return passages.where(F.col("words") >= least_words).select(
