@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from conftest_llm import LONG, ODD
 
-from worklens.llm import edit_fingerprint, line_dedup, packing, token_files
+from worklens.llm import edit_fingerprint, line_dedup, packing, token_files, tokenization
 from worklens.llm.tokenization import PartEncoder, vocabulary
 
 
@@ -29,6 +29,20 @@ def test_encoder_equals_one_call(whole):
         assert got.tolist() == whole(text, 0)[:-1]
 
 
+def test_encoder_memory_is_bounded_by_bytes(whole, monkeypatch):
+    """Long lines without blanks are not kept, kept parts stay under the bound, ids stay right over several spans."""
+    monkeypatch.setattr(tokenization, "CACHE_BYTES", 60_000)
+    monkeypatch.setattr(tokenization, "SPAN_BYTES", 5_000)
+    encoder = PartEncoder(vocabulary())
+    rows = ["".join(chr(97 + (i * k) % 23) for k in range(400)) + f" w{i} end" for i in range(300)]
+    rows += [" ".join(f"n{i}x{k}" for k in range(200)) for i in range(20)] + ["a\u00a0 b \u2003c d\u3000 e f\u0085 g"]
+    for text, got in zip(rows, encoder.encode_many(rows), strict=True):
+        assert got.tolist() == whole(text, 0)[:-1]
+    kept = encoder.kept
+    assert 32 * len(kept.key) + 4 * len(kept.pool) <= 60_000
+    assert kept.size.max() <= tokenization.KEEP_BYTES
+
+
 def test_pieces_and_packing(docs, whole):
     made = packing.pieces(docs(ODD), vocabulary())
     placed = packing.pack(made, group_pieces=20).collect()

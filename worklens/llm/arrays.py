@@ -85,6 +85,13 @@ class Words:
         self.count = np.bincount(self.text, minlength=len(texts))
         self.first = np.concatenate([[0], np.cumsum(self.count)]).astype(np.int64)
 
+    @classmethod
+    def slices(cls, raw: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hash of every piece ``raw[start[i]:end[i]]``."""
+        bare = cls.__new__(cls)
+        bare.buffer = np.frombuffer(raw, np.uint8)
+        return bare.hash_of(start, end)
+
     def prefix(self) -> np.ndarray:
         if not hasattr(self, "_prefix"):
             table = random_table(256, 11)
