@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driver import views
+from driver.forests import forest_views
 from driver.lifecycle import rounded
 from driver.registry import query
 from worklens.operators import forest, outliers
@@ -37,12 +38,6 @@ def peer_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _peer_stats(spark, sf_dir)
 
 
-@query(_PEER_SQL)
-def peer_stats_bracket(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same statistics under the name they had as a second method."""
-    return _peer_stats(spark, sf_dir)
-
-
 _MEASURED = {
     "near": """SELECT state, work_type, count(*) AS n, quantile_cont(CAST(cost_amount AS DOUBLE), 0.5) AS med,
         quantile_cont(CAST(cost_amount AS DOUBLE), 0.25) AS q1, quantile_cont(CAST(cost_amount AS DOUBLE), 0.75) AS q3,
@@ -179,7 +174,32 @@ def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return add_features(views.projects(spark, sf_dir), views.AS_OF)
 
 
-@query()
+#: Spending features of projects with payments, missing ones as 0, and the detector's reasons.
+_SPENT = {
+    "spent": f"""SELECT project_id, payment_count, total_expenditure, total_expenditure / nullif(sanction_amount, 0) AS fund_utilization,
+        total_expenditure / nullif(recommended_amount, 0) AS expenditure_ratio,
+        date_diff('day', sanction_date, DATE '{views.AS_OF}') AS project_age_days,
+        CASE WHEN total_expenditure > sanction_amount THEN 1 ELSE 0 END AS over_budget FROM projects WHERE total_expenditure IS NOT NULL""",
+    "filled": "SELECT project_id, " + ", ".join(f"coalesce(CAST({c} AS DOUBLE), 0) AS {c}" for c in forest.PATTERN_SPEC.numeric) + " FROM spent",
+    **forest_views("filled", forest.PATTERN_SPEC),
+    "many": "SELECT quantile_cont(CAST(payment_count AS DOUBLE), 0.95) AS many FROM spent",
+    "told": """SELECT s.*, d.decision, d.forest_flag, concat_ws('; ',
+        CASE WHEN over_budget = 1 THEN 'Expenditure exceeds sanctioned amount' END,
+        CASE WHEN fund_utilization > 1 THEN 'Fund utilization above 100%' END,
+        CASE WHEN project_age_days > 700 THEN 'Project age unusually high' END,
+        CASE WHEN payment_count > many THEN 'Unusually high number of payments' END) AS reasons FROM spent s JOIN decided d USING (project_id), many""",
+    "patterns": """SELECT *, CASE WHEN reasons = '' THEN 'Detected by Isolation Forest pattern analysis' ELSE reasons END AS anomaly_reason FROM told""",
+}
+_PROJECT_VIEWS = ("works", "payments", "totals", "completions", "projects")
+
+
+@query(
+    views.with_views(
+        *_PROJECT_VIEWS,
+        extra=_SPENT,
+        body="SELECT project_id, forest_flag AS cost_anomaly_flag, round(decision, 6) AS anomaly_score, anomaly_reason FROM patterns",
+    )
+)
 def iforest_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Isolation forest over the spending features."""
     result, _ = forest.detect_spending_patterns(_features(spark, sf_dir))
@@ -188,16 +208,49 @@ def iforest_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+@query(
+    views.with_views(
+        *_PROJECT_VIEWS,
+        extra=_SPENT,
+        body="""
+        SELECT project_id, round(fund_utilization, 6) AS fund_utilization, round(expenditure_ratio, 6) AS expenditure_ratio, payment_count,
+               project_age_days, over_budget, round(decision, 6) AS anomaly_score, anomaly_reason
+        FROM patterns WHERE forest_flag = 1 ORDER BY round(decision, 9), project_id LIMIT 10""",
+    )
+)
 def iforest_most_anomalous(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten oddest flagged projects."""
     result, _ = forest.detect_spending_patterns(_features(spark, sf_dir))
     flagged = result.where("cost_anomaly_flag = 1").select(
         "project_id", *forest.PATTERN_SPEC.numeric, "anomaly_score", "anomaly_reason"
     )
-    return rounded(top(flagged, 10, F.asc("anomaly_score")), "anomaly_score", digits=6)
+    oddest = top(flagged, 10, F.asc(F.round("anomaly_score", 9)))
+    return rounded(oddest, "fund_utilization", "expenditure_ratio", "anomaly_score", digits=6)
 
 
-@query()
+_COSTS = {
+    "logged": """SELECT project_id, CASE WHEN cost_amount <= -1 THEN -37.0 ELSE ln(1 + cost_amount) END AS log_cost_amount,
+        work_type, state, district, work_category FROM peers""",
+    **forest_views("logged", forest.COST_SPEC),
+}
+
+
+@query(
+    views.with_views(
+        "peers",
+        extra=_MEASURED | _COSTS,
+        body="""
+        SELECT project_id, peer_count, round(med, 6) AS peer_median_cost, round(iqr, 6) AS peer_iqr_cost, round(dev, 6) AS cost_deviation_pct,
+               round(z, 6) AS cost_zscore, flag AS cost_iqr_flag, forest_flag AS cost_anomaly_flag, round(-decision, 6) AS cost_anomaly_score,
+               concat_ws('; ', CASE WHEN flag = 1 THEN 'Outside the peer-group IQR' END,
+                         CASE WHEN abs(z) >= 3 THEN 'Large peer-group z-score' END,
+                         CASE WHEN dev >= 1 THEN 'Cost is at least twice the peer median' END,
+                         CASE WHEN forest_flag = 1 AND flag = 0 AND NOT coalesce(abs(z) >= 3, FALSE) AND NOT coalesce(dev >= 1, FALSE)
+                              THEN 'Detected by Isolation Forest pattern analysis' END) AS cost_anomaly_reason,
+               TRUE AS cost_anomaly_available
+        FROM measured JOIN decided USING (project_id)""",
+    )
+)
 def iforest_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cost detector: peers, isolation forest and reasons of every project."""
     result, _ = forest.detect_cost_anomalies(views.peers(spark, sf_dir), validate=False)
@@ -205,6 +258,17 @@ def iforest_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(result, *measures, digits=6)
 
 
+_COST_SCORES = views.with_views("peers", extra=_COSTS, body="SELECT project_id, round(-decision, 6) AS cost_anomaly_score FROM decided ORDER BY round(-decision, 9) DESC, project_id LIMIT 20")
+
+
+@query(_COST_SCORES)
+def top_cost_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 projects that the forest finds oddest."""
+    result, _ = forest.detect_cost_anomalies(views.peers(spark, sf_dir), validate=False)
+    oddest = top(result, 20, F.desc(F.round("cost_anomaly_score", 9))).select("project_id", "cost_anomaly_score")
+    return rounded(oddest, "cost_anomaly_score", digits=6)
+
+
 @query(
     views.with_views(
         "works",
