@@ -26,7 +26,7 @@ _MEASURES = ("peer_median_cost", "peer_q1_cost", "peer_q3_cost", "peer_std_cost"
 
 def _peer_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = outliers.peer_groups(views.peers(spark, sf_dir))
-    stats = outliers.peer_statistics(groups, ["_state", "_work_type"])
+    (stats,) = outliers.peer_statistics(groups, ["_state", "_work_type"])
     return rounded(stats.withColumnsRenamed({"_state": "state", "_work_type": "work_type"}), *_MEASURES)
 
 

@@ -13,6 +13,7 @@ from worklens.operators.lifecycle import expenditure_summary
 from worklens.operators.rules import FLAGS, RiskRules, flag_counts as count_flags, score_projects
 from worklens.operators.similarity import PROJECT_MODEL
 from worklens.plans.monitoring import run
+from worklens.session import materialize
 
 RULES = RiskRules(as_of=views.AS_OF, portal_launch=views.PORTAL_LAUNCH)
 
@@ -47,7 +48,10 @@ def duplicate_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cost_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stand-in cost output: upper-fence outliers of the payment total."""
-    totals = expenditure_summary(views.bare_payments(spark, sf_dir), date=None)
+    return fence_flags(expenditure_summary(views.bare_payments(spark, sf_dir), date=None))
+
+
+def fence_flags(totals: DataFrame) -> DataFrame:
     return outliers.iqr_outliers(totals).select(
         "project_id",
         F.col("iqr_anomaly_flag").alias("cost_anomaly_flag"),
@@ -209,10 +213,10 @@ def flag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _fusion_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
-    totals = expenditure_summary(views.bare_payments(spark, sf_dir), date=None)
+    totals = materialize(expenditure_summary(views.bare_payments(spark, sf_dir), date=None), "totals")
+    costs = materialize(fence_flags(totals), "cost-flags")
     z = outliers.zscore_outliers(totals).where("zscore_anomaly_flag = 1")
-    iqr = outliers.iqr_outliers(totals).where("iqr_anomaly_flag = 1")
-    return cost_flags(spark, sf_dir), z, iqr
+    return costs, z, costs.where("cost_anomaly_flag = 1")
 
 
 @query(

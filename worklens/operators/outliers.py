@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from worklens.functions.values import category, flag, join_labels, to_double
-from worklens.operators.percentiles import grouped_statistics
+from worklens.operators.percentiles import grain_statistics, grouped_statistics
 from worklens.operators.shaping import with_row
 from worklens.session import materialize
 
@@ -39,16 +39,11 @@ def peer_groups(
     )
 
 
-def peer_statistics(peers: DataFrame, keys: Sequence[str], cost: str = "cost_amount") -> DataFrame:
-    """Count, quartiles, sample deviation and IQR of each peer group."""
-    stats = grouped_statistics(
-        peers,
-        keys,
-        cost,
-        QUARTILES,
-        {"peer_count": F.count(cost), "peer_std_cost": F.stddev_samp(cost)},
-    )
-    return stats.withColumn("peer_iqr_cost", F.col("peer_q3_cost") - F.col("peer_q1_cost"))
+def peer_statistics(peers: DataFrame, *grains: Sequence[str], cost: str = "cost_amount") -> list[DataFrame]:
+    """Count, quartiles, sample deviation and IQR of the peer groups of every grain."""
+    others = {"peer_count": F.count(cost), "peer_std_cost": F.stddev_samp(cost)}
+    tables = grain_statistics(peers, grains, cost, QUARTILES, others)
+    return [t.withColumn("peer_iqr_cost", F.col("peer_q3_cost") - F.col("peer_q1_cost")) for t in tables]
 
 
 def compare_with_peers(
@@ -67,8 +62,7 @@ def compare_with_peers(
         raise ValueError("minimum_peer_size must be at least 2")
     peers = peer_groups(projects, state, work_type, cost)
     measures = ["peer_count", "peer_median_cost", "peer_q1_cost", "peer_q3_cost", "peer_std_cost", "peer_iqr_cost"]
-    near = peer_statistics(peers, ["_state", "_work_type"], cost)
-    wide = peer_statistics(peers, ["_work_type"], cost)
+    near, wide = peer_statistics(peers, ["_state", "_work_type"], ["_work_type"], cost=cost)
     use_near = F.col("near.peer_count") >= minimum_peer_size
     # The basis is settled on the statistics tables, so projects join once. It is
     # written first: its true size then decides whether projects must move at all.

@@ -1,11 +1,10 @@
-"""Exact interpolated percentiles, by one method for groups of any size.
-
-Equal values of a group are counted first. A percentile is then found by rank:
-a group's distinct values are cut into ``CUTS`` slices, the counts of the
-slices tell in which slice each wanted rank lies, and only that slice is cut
-again. After ``ROUNDS`` cuts what is left of a slice is small and is ranked
-value by value. Slices need not be even to give the right value, so a coarse
-sketch may set their edges; it only spreads the work.
+"""Exact interpolated percentiles of groups of any size, many groups and columns in one pass.
+
+Equal values of a group are counted first, coarser groups from the counts of
+finer ones. The counted values are sorted by (group, value) into ranges and
+written once. Each range's sums tell in which range a wanted rank lies, and
+only there values are ranked one by one, so a group that holds most rows is
+spread over as many ranges as it needs.
 """
 
 from __future__ import annotations
@@ -18,91 +17,107 @@ from pyspark.sql.window import Window as W
 
 from worklens.session import materialize
 
-CUTS = 512
-ROUNDS = 2
-#: Accuracy of the sketch that sets the edges.
-ACCURACY = 4 * CUTS
+#: Ranges that counted values are sorted into; by default as many as Spark finds fit.
+RANGES: int | None = None
 
 
-def grouped_statistics(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    percentiles: Mapping[str, float],
-    others: Mapping[str, Column] | None = None,
-) -> DataFrame:
-    """Per-group exact percentiles ``{name: fraction}`` plus other aggregates.
+def group_name(keys: Sequence[Column], grain: int = 0) -> Column:
+    """One text for a grain and its key values; NULL is a value like any other."""
+    texts = [F.coalesce(F.concat(F.lit("="), k.cast("string")), F.lit("?")) for k in keys]
+    return F.concat(F.lit(str(grain)), *[part for t in texts for part in (F.lit(":"), F.length(t).cast("string"), t)])
+
 
-    NULL values are left out of every percentile; a group without values has
-    NULL percentiles. NULL is a key like any other. With no keys the result is
-    one row, also over an empty table.
+def counted_values(df: DataFrame, value: str, names: Sequence[Column]) -> DataFrame:
+    """(_key, _v, _c, _part): how often each group has a value, sorted into ranges and written.
+
+    ``names`` are the groups a row belongs to, one for each grain.
     """
-    others = dict(others or {})
-    measures = [F.count(value).alias("_n"), *[column.alias(name) for name, column in others.items()]]
-    summary = df.groupBy(*keys).agg(*measures)
-    names = [f"_k{i}" for i in range(len(keys))]
-    # Keys as text that keeps NULL apart, so that plain joins find every group.
-    plain = [F.coalesce(F.concat(F.lit("="), F.col(k).cast("string")), F.lit("?")).alias(n) for k, n in zip(keys, names, strict=True)]
-    counted = materialize(
-        df.where(F.col(value).isNotNull())
-        .select(*plain, F.col(value).cast("double").alias("_v"))
-        .groupBy(*names, "_v")
-        .agg(F.count(F.lit(1)).alias("_c")),
-        "counted-values",
-    )
-    found = _percentiles(counted, names, dict(percentiles))
-    # Without keys both sides are one row.
-    whole = summary.select("*", *plain).join(found, names, "left") if names else summary.withColumn("_k", F.lit(0)).join(found.withColumn("_k", F.lit(0)), "_k", "left").drop("_k")
-    return whole.select(*keys, *others, *percentiles)
+    rows = df.where(F.col(value).isNotNull()).select(*[n.alias(f"_g{i}") for i, n in enumerate(names)], F.col(value).cast("double").alias("_v"))
+    grains = [f"_g{i}" for i in range(len(names))]
+    counted = rows.groupBy(*grains, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    if len(grains) > 1:
+        counted = counted.select(F.explode(F.array(*grains)).alias("_key"), "_v", "_c").groupBy("_key", "_v").agg(F.sum("_c").alias("_c"))
+    else:
+        counted = counted.withColumnRenamed("_g0", "_key")
+    dealt = counted.repartitionByRange("_key", "_v") if RANGES is None else counted.repartitionByRange(RANGES, "_key", "_v")
+    return materialize(dealt.withColumn("_part", F.spark_partition_id()), "counted-values")
 
 
-def _percentiles(counted: DataFrame, keys: list[str], percentiles: dict[str, float]) -> DataFrame:
-    """One row per key with a column per percentile."""
-    sizes = counted.groupBy(*keys).agg(F.sum("_c").alias("_n"))
+def percentiles_of(counted: DataFrame, percentiles: Mapping[str, float]) -> DataFrame:
+    """(_key, one column per percentile) of counted values."""
     position = lambda p: (F.col("_n") - 1) * F.lit(float(p))
-    ranks = [
-        F.struct(F.lit(2 * i + side).alias("slot"), edge(position(p)).cast("long").alias("rank"))
-        for i, p in enumerate(percentiles.values())
-        for side, edge in enumerate((F.floor, F.ceil))
-    ]
-    wanted = sizes.where("_n > 0").select(*keys, F.explode(F.array(*ranks)).alias("_w")).select(*keys, F.col("_w.slot").alias("_slot"), F.col("_w.rank").alias("_rank"))
-    rows, by = counted, list(keys)
-    for _ in range(ROUNDS):
-        rows, wanted = _narrow(rows, by, wanted, [*keys, "_slot"])
-        by = [*keys, "_slot"]
-    upto = F.sum("_c").over(W.partitionBy(*by).orderBy("_v"))
-    ranked = rows.withColumn("_upto", upto).join(wanted, by)
-    at = ranked.where((F.col("_upto") - F.col("_c") <= F.col("_rank")) & (F.col("_rank") < F.col("_upto")))
-    picked = at.groupBy(*keys).agg(*[F.max(F.when(F.col("_slot") == s, F.col("_v"))).alias(f"_s{s}") for s in range(2 * len(percentiles))])
-    # A key's size tells again how far between its two ranks a percentile lies.
-    both = picked.withColumn("_k", F.lit(0)).join(sizes.withColumn("_k", F.lit(0)), [*keys, "_k"])
-    return both.select(
-        *keys,
+    ranks = F.array(
         *[
-            (F.col(f"_s{2 * i}") + (position(p) - F.floor(position(p))) * (F.col(f"_s{2 * i + 1}") - F.col(f"_s{2 * i}"))).alias(name)
-            for i, (name, p) in enumerate(percentiles.items())
-        ],
+            F.struct(F.lit(2 * i + side).alias("slot"), edge(position(p)).cast("long").alias("rank"))
+            for i, p in enumerate(percentiles.values())
+            for side, edge in enumerate((F.floor, F.ceil))
+        ]
+    )
+    along = W.partitionBy("_key").orderBy("_part").rowsBetween(W.unboundedPreceding, W.currentRow)
+    # A row per group and range: few groups lie in more than one.
+    spans = (
+        counted.groupBy("_key", "_part")
+        .agg(F.sum("_c").alias("_m"))
+        .withColumns({"_before": F.sum("_m").over(along) - F.col("_m"), "_n": F.sum("_m").over(W.partitionBy("_key"))})
+        .withColumn("_wanted", F.filter(ranks, lambda r: (r["rank"] >= F.col("_before")) & (r["rank"] < F.col("_before") + F.col("_m"))))
+        .where(F.size("_wanted") > 0)
     )
+    inside = W.partitionBy("_key", "_part").orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)
+    upto = F.col("_before") + F.col("_upto")
+    hits = (
+        counted.withColumn("_upto", F.sum("_c").over(inside))
+        .join(spans, ["_key", "_part"])
+        .withColumn("_hit", F.explode(F.filter("_wanted", lambda r: (r["rank"] >= upto - F.col("_c")) & (r["rank"] < upto))))
+    )
+    picked = hits.groupBy("_key").agg(
+        F.first("_n").alias("_n"),
+        *[F.max(F.when(F.col("_hit.slot") == s, F.col("_v"))).alias(f"_s{s}") for s in range(2 * len(percentiles))],
+    )
+    between = lambda i, p: F.col(f"_s{2 * i}") + (position(p) - F.floor(position(p))) * (F.col(f"_s{2 * i + 1}") - F.col(f"_s{2 * i}"))
+    return picked.select("_key", *[between(i, p).alias(name) for i, (name, p) in enumerate(percentiles.items())])
 
 
-def _narrow(rows: DataFrame, by: list[str], wanted: DataFrame, slots: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Values of the slices that hold the wanted ranks, and the ranks inside them, both by slot."""
-    fractions = [i / CUTS for i in range(1, CUTS)]
-    one = [*by, "_k"]  # a join column also where there are no keys
-    keyed = rows.withColumn("_k", F.lit(0))
-    edges = keyed.groupBy(*one).agg(F.array_distinct(F.percentile_approx("_v", fractions, ACCURACY)).alias("_edges"))
-    # Number of edges below the value: equal values share a slice.
-    slice_ = F.size(F.filter("_edges", lambda e: e < F.col("_v")))
-    cut = materialize(keyed.join(edges, one).select(*one, slice_.alias("_slice"), "_v", "_c"), "sliced-values")
-    sizes = cut.groupBy(*one, "_slice").agg(F.sum("_c").alias("_m"))
-    # At most CUTS rows a window.
-    before = F.sum("_m").over(W.partitionBy(*one).orderBy("_slice")) - F.col("_m")
-    placed = sizes.withColumn("_before", before).join(wanted.withColumn("_k", F.lit(0)), one)
-    hit = materialize(
-        placed.where((F.col("_before") <= F.col("_rank")) & (F.col("_rank") < F.col("_before") + F.col("_m"))).select(
-            *one, "_slice", *[s for s in slots if s not in by], (F.col("_rank") - F.col("_before")).alias("_rank")
-        ),
-        "slices",
+def moments_of(counted: DataFrame) -> DataFrame:
+    """(_key, count, mean, std, min, max) of counted values; std is the sample deviation."""
+    first = counted.groupBy("_key").agg(
+        F.sum("_c").alias("count"), (F.sum(F.col("_c") * F.col("_v")) / F.sum("_c")).alias("mean"), F.min("_v").alias("min"), F.max("_v").alias("max")
     )
-    inside = cut.join(hit.drop("_rank"), [*one, "_slice"]).select(*slots, "_v", "_c")
-    return inside, hit.select(*slots, "_rank")
+    gap = F.col("_v") - F.col("mean")
+    spread = counted.join(first.select("_key", "mean"), "_key").groupBy("_key").agg(F.sum(F.col("_c") * gap * gap).alias("_m2"))
+    return first.join(spread, "_key").withColumn("std", F.sqrt(F.try_divide(F.col("_m2"), F.col("count") - 1))).drop("_m2")
+
+
+def grain_statistics(
+    df: DataFrame,
+    grains: Sequence[Sequence[str]],
+    value: str,
+    percentiles: Mapping[str, float],
+    others: Mapping[str, Column] | None = None,
+) -> list[DataFrame]:
+    """Per-group exact percentiles ``{name: fraction}`` plus other aggregates, a table for every grain.
+
+    A grain is a list of key columns. All grains share one table of counted
+    values, so the percentiles of all are found together. NULL values are left
+    out of every percentile; a group without values has NULL percentiles. NULL
+    is a key like any other. A grain without keys is one row, also over an
+    empty table.
+    """
+    others = dict(others or {})
+    names = [group_name([F.col(k) for k in keys], i) for i, keys in enumerate(grains)]
+    found = percentiles_of(counted_values(df, value, names), percentiles)
+    out = []
+    for keys, name in zip(grains, names, strict=True):
+        summary = df.groupBy(*keys).agg(F.count(value).alias("_n"), *[column.alias(c) for c, column in others.items()])
+        out.append(summary.withColumn("_key", name).join(found, "_key", "left").select(*keys, *others, *percentiles))
+    return out
+
+
+def grouped_statistics(
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    percentiles: Mapping[str, float],
+    others: Mapping[str, Column] | None = None,
+) -> DataFrame:
+    """``grain_statistics`` of one grain."""
+    return grain_statistics(df, [keys], value, percentiles, others)[0]

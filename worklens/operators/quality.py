@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from worklens.operators.percentiles import grouped_statistics
+from worklens.operators.percentiles import counted_values, moments_of, percentiles_of
 from worklens.operators.shaping import with_row
 
 
@@ -49,21 +49,14 @@ def distinct_counts(df: DataFrame, columns: Sequence[str], approximate: bool = F
 
 
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, count, mean, std, min, p25, p50, p75, max) with exact percentiles."""
+    """(column, count, mean, std, min, p25, p50, p75, max) with exact percentiles, from one scan."""
     long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], list(columns), "column", "_v")
-    return grouped_statistics(
-        long,
-        ["column"],
-        "_v",
-        {"p25": 0.25, "p50": 0.5, "p75": 0.75},
-        {
-            "count": F.count("_v"),
-            "mean": F.avg("_v"),
-            "std": F.stddev_samp("_v"),
-            "min": F.min("_v"),
-            "max": F.max("_v"),
-        },
-    ).select("column", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
+    counted = counted_values(long, "_v", [F.col("column")])
+    found = moments_of(counted).join(percentiles_of(counted, {"p25": 0.25, "p50": 0.5, "p75": 0.75}), "_key")
+    # A column without values has a count of 0 and nothing else.
+    named = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
+    whole = named.join(found.withColumnRenamed("_key", "column"), "column", "left").fillna({"count": 0})
+    return whole.select("column", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
