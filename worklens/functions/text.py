@@ -50,3 +50,32 @@ def terms(words: Column, ngrams: int = 1) -> Column:
         return F.concat(array, F.transform(following, lambda word, i: F.concat(array[i], F.lit(" "), word)))
 
     return bound(words, with_bigrams)
+
+
+def term_numbers(words: Column, ngrams: int = 1) -> Column:
+    """``terms`` as numbers: a 64-bit hash of the word or of the two words."""
+    if ngrams == 1:
+        return F.transform(words, lambda word: F.xxhash64(word))
+    if ngrams != 2:
+        raise ValueError("ngrams must be 1 or 2")
+
+    def with_bigrams(array: Column) -> Column:
+        following = F.slice(array, F.lit(2), F.greatest(F.size(array), F.lit(1)))
+        return F.concat(F.transform(array, lambda word: F.xxhash64(word)), F.transform(following, lambda word, i: F.xxhash64(array[i], word)))
+
+    return bound(words, with_bigrams)
+
+
+def counted(numbers: Column) -> Column:
+    """Distinct numbers of an array with their counts, as sorted (term, tf) structs."""
+
+    def runs(ordered: Column) -> Column:
+        size = F.size(ordered)
+        places = F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>"))
+        starts = F.filter(places, lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)))
+        count = lambda at: F.transform(
+            at, lambda i, k: F.struct(F.get(ordered, i).alias("term"), (F.coalesce(F.get(at, k + 1), size) - i).alias("tf"))
+        )
+        return bound(starts, count)
+
+    return bound(F.sort_array(numbers), runs)
