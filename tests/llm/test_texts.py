@@ -151,6 +151,23 @@ def test_lines_equal_brute_force(docs, shard_keys):
     assert Counter((r["doc_id"], r["n_lines"], r["n_dropped"], r["kept_text"]) for r in got) == brute_lines(rows)
 
 
+def test_lines_beside_clashing_names(spark):
+    """Columns with the names used inside come back as they were; a long document of repeated lines takes its lines once."""
+    names = ("_id", "_kept", "_gone", "_gone_id", "_missing", "row", "id", "gone", "kept", "a.b")
+    long = [f"line number {i:06d} of the long text" for i in range(48_000)]
+    rows = [(i, "\n".join(long if i else long + ["its own and only line here"] * 2), *[f"{n}{i}" for n in names]) for i in range(3)] + [(9, None, *["x"] * len(names))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    import time
+
+    begun = time.time()
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(frame).collect()}
+    assert time.time() - begun < 60
+    for i, text, *rest in rows:
+        assert [got[i][n] for n in names] == rest and got[i]["text"] == text
+    assert [got[i]["n_dropped"] for i in (0, 1, 2, 9)] == [48_000, 48_000, 0, 0]
+    assert got[0]["kept_text"] == "\n".join(["its own and only line here"] * 2) and got[9]["kept_text"] == ""
+
+
 def test_lines_of_an_empty_table(docs):
     assert line_dedup.dedup_lines(docs([])).collect() == []
 

@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from worklens.functions.text import bound
 from worklens.llm.arrays import mix
 from worklens.llm.frames import NO_NUMBER, texts
 from worklens.llm.registry import query, table
@@ -217,42 +218,74 @@ def repeated_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = M
     return stream.mapInPandas(probe, "doc_id long, h long, f long")
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, shard_keys: int = SHARD_KEYS) -> DataFrame:
-    """Adds n_lines, n_dropped and kept_text to (doc_id, text) rows; other columns stay.
+def _dropped_places(lines: Column, gone: Column) -> Column:
+    """Places of the lines whose key's hash is in ``gone``, in no order.
+
+    Lines and hashes are sorted together, so that a run of equal hashes starts
+    with a mark if it has to go; the work grows with n log n of the lines.
+    """
+
+    def cut(ordered: Column) -> Column:
+        size = F.size(ordered)
+        at = lambda i: F.get(ordered, i)
+        starts = F.filter(F.sequence(F.lit(0), size - 1), lambda i: (i == 0) | (at(i)["h"] != at(i - 1)["h"]))
+
+        def runs(begin: Column) -> Column:
+            spans_ = F.transform(begin, lambda i, k: F.struct(i.alias("start"), F.coalesce(F.get(begin, k + 1), size).alias("end")))
+            marked = F.filter(spans_, lambda r: at(r["start"])["place"] < 0)
+            return F.flatten(F.transform(marked, lambda r: F.transform(F.slice(ordered, r["start"] + 2, r["end"] - r["start"] - 1), lambda z: z["place"])))
+
+        return bound(starts, runs)
+
+    own = F.transform(lines, lambda line, i: F.struct(_hashes(key(line))[0].alias("h"), i.alias("place")))
+    marks = F.transform(gone, lambda h: F.struct(h.alias("h"), F.lit(-1).alias("place")))
+    return bound(F.array_sort(F.concat(own, marks)), cut)
+
+
+def without_repeated_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, shard_keys: int = SHARD_KEYS) -> DataFrame:
+    """(row, n_lines, n_dropped, kept_text): every row of ``docs`` as one struct, beside what its text becomes.
 
     A missing or empty text is one empty line and is kept (as the empty text).
     A number that repeats counts as one document for a key and all its rows
     keep or lose the same keys. Rows without a number count for no key and
-    lose every key of the table. Clashing column names: the three new columns
-    replace columns of the same name.
+    lose every key of the table. The work of a row grows with n log n of its
+    lines, however long it is.
     """
-    rows = docs.withColumn("text", F.coalesce("text", F.lit("")))
-    rows = rows.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_NUMBER)))
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_NUMBER)).alias("id")
+    )
     gone = repeated_lines(texts(docs), min_docs, min_chars, shard_keys)
     # A document's own lines bound its list.
-    gone = materialize(gone.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("h", "f")).alias("_gone")), "lines-gone")
-    out = rows.join(gone.withColumnRenamed("doc_id", "_gone_id"), F.col("_id") == F.col("_gone_id"), "left")
-    lines = F.split("text", "\n", -1)
-
-    def stays(line: Column) -> Column:
-        k = key(line)
-        h, f = _hashes(k)
-        return F.col("_gone").isNull() | (F.char_length(k) < min_chars) | ~F.array_contains("_gone", F.struct(h.alias("h"), f.alias("f")))
-
-    kept = F.when(F.col("_gone").isNull(), lines).otherwise(F.filter(lines, stays))
-    return (
-        out.withColumn("_kept", kept)
-        .withColumns(
-            {
-                "n_lines": F.size(lines).cast("long"),
-                "n_dropped": (F.size(lines) - F.size("_kept")).cast("long"),
-                "kept_text": F.array_join("_kept", "\n"),
-            }
-        )
-        .drop("_id", "_gone", "_gone_id", "_kept")
+    gone = materialize(gone.groupBy("doc_id").agg(F.collect_set("h").alias("gone")).withColumnRenamed("doc_id", "id"), "lines-gone")
+    lines = F.split(F.coalesce(F.col("row.text"), F.lit("")), "\n", -1)
+
+    def kept(all_: Column) -> Column:
+        places = F.array_except(F.sequence(F.lit(0), F.size(all_) - 1), _dropped_places(all_, F.col("gone")))
+        return F.when(F.col("gone").isNull(), all_).otherwise(F.transform(places, lambda i: F.get(all_, i)))
+
+    def counted(all_: Column) -> Column:
+        return bound(kept(all_), lambda k: F.struct(F.size(all_).alias("n"), F.size(k).alias("left"), F.array_join(k, "\n").alias("text")))
+
+    out = rows.join(gone, "id", "left").select("row", bound(lines, counted).alias("kept"))
+    return out.select(
+        "row",
+        F.col("kept.n").cast("long").alias("n_lines"),
+        (F.col("kept.n") - F.col("kept.left")).cast("long").alias("n_dropped"),
+        F.col("kept.text").alias("kept_text"),
     )
 
 
+def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, shard_keys: int = SHARD_KEYS) -> DataFrame:
+    """Adds n_lines, n_dropped and kept_text to (doc_id, text) rows by ``without_repeated_lines``.
+
+    All other columns stay as they are, whatever their names; the three new
+    ones replace columns of the same name.
+    """
+    new = ("n_lines", "n_dropped", "kept_text")
+    made = without_repeated_lines(docs, min_docs, min_chars, shard_keys)
+    return made.select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c not in new], *new)
+
+
 _SQL = r"""
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM d),
