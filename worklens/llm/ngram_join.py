@@ -87,9 +87,9 @@ def may_link(difference: np.ndarray, a: np.ndarray, b: np.ndarray, least: int) -
 
 def _sets(batch: pd.DataFrame):
     """Numbers and shingle sets of a batch, a span of text at a time."""
-    raw, ids = [t.lower() for t in encoded(batch["text"].tolist())], batch["doc_id"].to_numpy()
-    for some in spans([len(t) for t in raw]):
-        yield ids[some], shingle_sets(Words(raw[some]), WORDS)
+    rows, ids = batch["text"].tolist(), batch["doc_id"].to_numpy()
+    for some in spans([len(t) for t in rows]):
+        yield ids[some], shingle_sets(Words([t.lower() for t in encoded(rows[some])]), WORDS)
 
 
 def _digest(shingles: np.ndarray) -> int:
@@ -416,7 +416,8 @@ def ngram_join(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
 _SQL = r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-    '[^ 	-]+') AS words FROM documents),
+    '[^ 	-
+]+') AS words FROM documents),
 x AS (SELECT DISTINCT doc_id, list_aggregate(list_slice(words, i, i + 4), 'string_agg', ' ') AS s
     FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 4, 1) + 1)) AS i FROM w WHERE len(words) > 0)),
 n AS (SELECT doc_id, count(*) AS n FROM x GROUP BY doc_id),
