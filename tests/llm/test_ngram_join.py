@@ -111,3 +111,55 @@ def test_profiles_never_drop_a_link():
             assert nj.may_link(np.abs(nj.folded(x, cells) - nj.folded(y, cells)).sum(), len(a), len(b), 80)
             x, y = nj.folded(x, nj.SHORT), nj.folded(y, nj.SHORT)
             assert nj.may_link(np.abs(x - y).sum(), len(a), len(b), 80)
+
+
+def test_families_of_one_edit(docs):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(900)]
+    base = [rng.choices(words, k=200) for _ in range(6)]
+    rows = {i: " ".join(b) for i, b in enumerate(base)}
+    for i, b in enumerate(base):
+        for k in range(4):  # one word of 200: similarity over 0.9
+            near = list(b)
+            near[17 * (k + 2)] = "other"
+            rows[10 + 10 * i + k] = " ".join(near)
+        far = list(b)
+        for at in range(0, 200, 8):  # similarity far below 0.8
+            far[at] = "changed"
+        rows[100 + i] = " ".join(far)
+    got = {r["doc_id"]: r["component_id"] for r in nj.ngram_join(docs(rows)).collect()}
+    assert got == {i: i if i < 6 or i >= 100 else (i - 10) // 10 for i in rows}
+
+
+def test_block_edits_near_the_threshold(docs):
+    """Appended, cut off and replaced blocks at shingle similarity 0.8 to 0.95, against all pairs."""
+    rng = random.Random(11)
+    rows = {}
+    for i in range(60):
+        base = [f"t{i}w{k}" for k in range(400)]
+        more = [f"t{i}n{k}" for k in range(400)]
+        alike = (0.80, 0.82, 0.85, 0.90, 0.95)[i % 5]
+        if i % 3 == 0:
+            near = base + more[: int(396 / alike) - 396]
+        elif i % 3 == 1:
+            near = base[: int(396 * alike) + 5]
+        else:
+            n = int(396 * (1 - alike) / (1 + alike)) - 4
+            at = rng.randrange(0, 400 - n)
+            near = base[:at] + more[:n] + base[at + n :]
+        rows |= {2 * i: " ".join(base), 2 * i + 1: " ".join(near)}
+    expect, linked = brute(rows)
+    assert len(linked) >= 55
+    assert found(nj.ngram_join(docs(rows))) == expect
+
+
+def test_links_behind_a_text_that_only_looks_near(docs, monkeypatch):
+    """Texts 1 and 2 are near and meet only where the shorter text 0 may be near to both, and is not."""
+    monkeypatch.setattr(nj, "SMALL", 2)
+    run = lambda name, n: [f"{name}{k}" for k in range(n)]
+    core, passage, other = run("core", 104), run("passage", 64), run("other", 69)
+    rows = {0: other + run("z", 1) + core, 1: passage + run("x", 14) + core, 2: passage + run("y", 14) + core}
+    for k in range(10):
+        rows |= {10 + k: passage + run(f"p{k}w", 300), 30 + k: other + run(f"o{k}w", 300)}
+    got = {r["doc_id"]: r["component_id"] for r in nj.ngram_join(docs({i: " ".join(w) for i, w in rows.items()})).collect()}
+    assert got == {i: i for i in rows} | {2: 1}

@@ -5,10 +5,8 @@ import numpy as np
 import xxhash
 from conftest_llm import ODD
 
-from worklens.llm import near_duplicates as near
 from worklens.llm import simhash
 from worklens.llm.components import components
-from worklens.llm.near_duplicates import near_duplicate_groups
 
 
 def brute_fingerprint(text):
@@ -46,7 +44,6 @@ def test_odd_rows(docs):
 
 def test_empty_table(docs):
     assert simhash.simhash_components(docs([])).collect() == []
-    assert near_duplicate_groups(docs([])).collect() == []
 
 
 def test_components_equal_brute_force(docs):
@@ -86,76 +83,3 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (200, 200)], "a long, b long")
     got = {r["node"]: r["component"] for r in components(edges, "a", "b").collect()}
     assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100}
-
-
-def test_near_duplicate_groups(docs):
-    rng = random.Random(5)
-    words = [f"w{i}" for i in range(900)]
-    base = [rng.choices(words, k=200) for _ in range(6)]
-    rows = {i: " ".join(b) for i, b in enumerate(base)}
-    for i, b in enumerate(base):
-        for k in range(4):  # one word of 200: similarity over 0.9
-            near = list(b)
-            near[17 * (k + 2)] = "other"
-            rows[10 + 10 * i + k] = " ".join(near)
-        far = list(b)
-        for at in range(0, 200, 8):  # similarity far below 0.8
-            far[at] = "changed"
-        rows[100 + i] = " ".join(far)
-    got = {r["doc_id"]: r["component_id"] for r in near_duplicate_groups(docs(rows)).collect()}
-    assert got == {i: i if i < 6 or i >= 100 else (i - 10) // 10 for i in rows}
-
-
-def test_near_duplicates_of_odd_rows(docs):
-    got = [(r["doc_id"], r["component_id"]) for r in near_duplicate_groups(docs(ODD)).collect()]
-    assert len(got) == len(ODD)
-    by = dict(got)
-    assert by[2] == 1 and by[4] == by[5] == 3 and by[None] is None and by[10] == 10
-
-
-def test_block_edits_near_the_threshold(docs):
-    """Appended, cut off and replaced blocks at shingle similarity 0.8 to 0.95, against all pairs."""
-    rng = random.Random(11)
-    rows = {}
-    for i in range(60):
-        base = [f"t{i}w{k}" for k in range(400)]
-        more = [f"t{i}n{k}" for k in range(400)]
-        alike = (0.80, 0.82, 0.85, 0.90, 0.95)[i % 5]
-        if i % 3 == 0:
-            near = base + more[: int(396 / alike) - 396]
-        elif i % 3 == 1:
-            near = base[: int(396 * alike) + 5]
-        else:
-            n = int(396 * (1 - alike) / (1 + alike)) - 4
-            at = rng.randrange(0, 400 - n)
-            near = base[:at] + more[:n] + base[at + n :]
-        rows |= {2 * i: " ".join(base), 2 * i + 1: " ".join(near)}
-    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in rows.items())}
-    linked = [(a, b) for a, b in itertools.combinations(rows, 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
-    assert len(linked) >= 55
-    got = {r["doc_id"]: r["component_id"] for r in near_duplicate_groups(docs(rows)).collect()}
-    assert got == closed(rows, linked)
-
-
-def test_every_possible_pair_of_a_large_bucket():
-    """A first text near to none hides nothing: all pairs of different groups come out in the last round."""
-    n = 50
-    node, size, place = np.arange(n), np.full(n, 100), np.zeros(n, np.int64)
-    pairs = {(int(a), int(b)) for x, y in near.bucket_pairs(node, size, place, node.copy(), 0.8, True, True) for a, b in zip(x, y, strict=True)}
-    assert pairs == set(itertools.combinations(range(n), 2))
-    label = np.arange(n) % 2
-    pairs = {(int(a), int(b)) for x, y in near.bucket_pairs(node, size, place, label, 0.8, True, True) for a, b in zip(x, y, strict=True)}
-    assert pairs == {(a, b) for a, b in itertools.combinations(range(n), 2) if (a - b) % 2}
-
-
-
-def test_links_behind_a_text_that_only_looks_near(docs, monkeypatch):
-    """Texts 1 and 2 are near and meet only where the shorter text 0 may be near to both, and is not."""
-    monkeypatch.setattr(near, "SMALL", 2)
-    run = lambda name, n: [f"{name}{k}" for k in range(n)]
-    core, passage, other = run("core", 104), run("passage", 64), run("other", 69)
-    rows = {0: other + run("z", 1) + core, 1: passage + run("x", 14) + core, 2: passage + run("y", 14) + core}
-    for k in range(10):
-        rows |= {10 + k: passage + run(f"p{k}w", 300), 30 + k: other + run(f"o{k}w", 300)}
-    got = {r["doc_id"]: r["component_id"] for r in near_duplicate_groups(docs({i: " ".join(w) for i, w in rows.items()})).collect()}
-    assert got == {i: i for i in rows} | {2: 1}

@@ -30,10 +30,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from worklens.llm.arrays import Words, encoded, mix, spans
+from worklens.llm.arrays import Words, encoded, mix, ngrams, spans
 from worklens.llm.components import components
 from worklens.llm.frames import NO_NUMBER, numbered, texts, whole_groups
-from worklens.llm.near_duplicates import hash_sequence, shingle_sets
 from worklens.llm.registry import query, table
 from worklens.session import materialize
 
@@ -92,8 +91,19 @@ def _sets(batch: pd.DataFrame):
         yield ids[some], shingle_sets(Words([t.lower() for t in encoded(rows[some])]), WORDS)
 
 
-def _digest(shingles: np.ndarray) -> int:
-    return int(np.uint64(hash_sequence(shingles)).view(np.int64))
+def shingle_sets(words: Words, n: int = WORDS) -> list[np.ndarray]:
+    """Sorted distinct hashes of the n-word shingles; a shorter text is one shingle, one without words none."""
+    hashes = words.hashes()
+    out = []
+    for a, b in zip(words.first[:-1], words.first[1:], strict=True):
+        out.append(np.unique(ngrams(hashes[a:b], min(n, b - a))) if b > a else np.zeros(0, np.uint64))
+    return out
+
+
+def _digest(numbers: np.ndarray) -> int:
+    """One number for a sequence of hashes, whatever its length."""
+    place = np.arange(1, len(numbers) + 1, dtype=np.uint64)
+    return int(np.sum(mix(numbers + mix(place)), dtype=np.uint64).view(np.int64))
 
 
 def described(rows: DataFrame) -> tuple[DataFrame, np.ndarray]:
