@@ -235,22 +235,23 @@ _COSTS = {
 }
 
 
-@query(
-    views.with_views(
-        "peers",
-        extra=_MEASURED | _COSTS,
-        body="""
+#: The cost detector over ``peers``: ``cost_anomalies`` and what it stands on.
+COST_ANOMALIES = {
+    **_MEASURED,
+    **_COSTS,
+    "cost_anomalies": """
         SELECT project_id, peer_count, round(med, 6) AS peer_median_cost, round(iqr, 6) AS peer_iqr_cost, round(dev, 6) AS cost_deviation_pct,
                round(z, 6) AS cost_zscore, flag AS cost_iqr_flag, forest_flag AS cost_anomaly_flag, round(-decision, 6) AS cost_anomaly_score,
                concat_ws('; ', CASE WHEN flag = 1 THEN 'Outside the peer-group IQR' END,
                          CASE WHEN abs(z) >= 3 THEN 'Large peer-group z-score' END,
                          CASE WHEN dev >= 1 THEN 'Cost is at least twice the peer median' END,
                          CASE WHEN forest_flag = 1 AND flag = 0 AND NOT coalesce(abs(z) >= 3, FALSE) AND NOT coalesce(dev >= 1, FALSE)
-                              THEN 'Detected by Isolation Forest pattern analysis' END) AS cost_anomaly_reason,
-               TRUE AS cost_anomaly_available
+                              THEN 'Detected by Isolation Forest pattern analysis' END) AS cost_anomaly_reason
         FROM measured JOIN decided USING (project_id)""",
-    )
-)
+}
+
+
+@query(views.with_views("peers", extra=COST_ANOMALIES, body="SELECT *, TRUE AS cost_anomaly_available FROM cost_anomalies"))
 def iforest_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cost detector: peers, isolation forest and reasons of every project."""
     result, _ = forest.detect_cost_anomalies(views.peers(spark, sf_dir), validate=False)

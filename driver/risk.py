@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driver import views
-from driver.lifecycle import rounded
+from driver.anomalies import COST_ANOMALIES
+from driver.lifecycle import SIDES, rounded
 from driver.registry import query
+from driver.text import rollup_sql
 from worklens.operators import fusion, outliers, quality
 from worklens.operators.lifecycle import expenditure_summary
 from worklens.operators.rules import FLAGS, RiskRules, flag_counts as count_flags, score_projects
@@ -247,7 +249,58 @@ def ml_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.fuse_detectors(forest, z, iqr, fusion.best_similarity(pairs))
 
 
-@query()
+_FILLED = "CASE WHEN length(trim({0})) > 0 THEN {0} ELSE '__missing__' END"
+_PROJECT_BLOCK = "coalesce('=' || state, '?') || chr(1) || coalesce('=' || work_type, '?')"
+_CONSTITUENCY = "coalesce('=' || state, '?') || chr(1) || coalesce('=' || constituency, '?')"
+
+#: The whole job: the outer master with whole documents as descriptions, both detectors, merge.
+_WHOLE = {
+    "given_texts": "SELECT 'WS/MP' || doc_id || '/2024-2025/' || doc_id AS project_id, text FROM documents",
+    "sanctioned": SIDES["sanctioned"],
+    "completed": SIDES["completed"],
+    "first_payment": SIDES["first_payment"],
+    "projects": """
+        SELECT project_id, coalesce(s.state, c.state, p.state) AS state, coalesce(s.district, c.district, p.district) AS district,
+               coalesce(s.constituency, c.constituency, p.constituency) AS constituency, coalesce(s.work_category, c.work_category) AS work_category,
+               coalesce(s.work_type, c.work_type, p.work_type) AS work_type,
+               CASE WHEN s.state IS NOT NULL OR c.state IS NOT NULL THEN g.text END AS work_description, s.work_status,
+               s.recommended_date, s.sanction_date, c.completion_date, r.recommended_amount, s.sanction_amount, c.amount_disbursed, t.total_expenditure,
+               coalesce(s.sanction_amount, r.recommended_amount, c.amount_disbursed, t.total_expenditure) AS cost_amount
+        FROM sanctioned s FULL OUTER JOIN works r USING (project_id) FULL OUTER JOIN completed c USING (project_id)
+             FULL OUTER JOIN totals t USING (project_id) LEFT JOIN first_payment p USING (project_id) LEFT JOIN given_texts g USING (project_id)""",
+    "told_texts": "SELECT project_id AS doc_id, work_description AS text, state, constituency, work_type FROM projects",
+    **rollup_sql(PROJECT_MODEL, _PROJECT_BLOCK, _CONSTITUENCY, "told_texts"),
+    "peers": f"""SELECT project_id, cost_amount, {', '.join(f"{_FILLED.format(c)} AS {c}" for c in ('state', 'work_type', 'district', 'work_category'))}
+        FROM projects WHERE cost_amount IS NOT NULL""",
+    **COST_ANOMALIES,
+    "detectors": """SELECT d.project_id, exact_duplicate_flag, exact_group_id, exact_duplicate_count, potential_duplicate_flag, similarity_score, similar_project_id,
+        duplicate_reason, c.cost_anomaly_flag, c.cost_anomaly_score, coalesce(c.cost_anomaly_reason, 'Missing cost_amount; not analyzed.') AS cost_anomaly_reason,
+        CASE WHEN c.cost_anomaly_flag IS NULL THEN 0 ELSE 1 END AS cost_anomaly_available FROM rollup d LEFT JOIN cost_anomalies c USING (project_id)""",
+    **{name: sql for name, sql in SCORED.items() if name not in DETECTORS},
+}
+
+
+@query(
+    views.with_views(
+        "works",
+        "payments",
+        "completions",
+        "totals",
+        extra=_WHOLE,
+        body="""
+        SELECT project_id, state, district, constituency, work_type, CAST(risk_score AS INTEGER) AS risk_score, risk_level,
+               CAST(delay_days AS INTEGER) AS delay_days, delay_flag, sanction_delay_flag, stalled_flag, pending_mark_flag, over_expenditure_flag,
+               invalid_date_flag, status_flag, low_amount_flag, cost_anomaly_flag, round(cost_anomaly_score, 6) AS cost_anomaly_score, cost_anomaly_available,
+               cost_anomaly_reason, exact_duplicate_flag, exact_group_id, exact_duplicate_count, potential_duplicate_flag, similarity_score, similar_project_id,
+               duplicate_reason, pre_portal_flag, awaiting_sanction_flag, round(spend_completion_ratio, 6) AS spend_completion_ratio, indicators,
+               CASE WHEN indicators <> '' THEN 'Flagged because: ' || indicators || '.'
+                    ELSE 'No rule-based irregularity flagged on available fields.' END AS explanation,
+               CASE WHEN awaiting_sanction_flag = 1 AND risk_score = 0 THEN 'Awaiting sanction — not yet applicable for execution risk.'
+                    WHEN risk_score >= 65 THEN 'Prioritize for human verification.'
+                    WHEN risk_score >= 35 THEN 'Review when resources allow.' ELSE 'Routine monitoring.' END AS recommended_action
+        FROM scored""",
+    )
+)
 def risk_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """End to end: life-cycle tables, master, both detectors, merge, rules.
 
@@ -271,4 +324,4 @@ def risk_output(spark: SparkSession, sf_dir: str) -> DataFrame:
         rules=RULES,
         model=PROJECT_MODEL,
     )
-    return result.risk
+    return rounded(result.risk, "cost_anomaly_score", "spend_completion_ratio", digits=6)
