@@ -10,7 +10,8 @@ from driver.lifecycle import rounded
 from driver.registry import query
 from driver.risk import BASE, DETECTORS, cost_flags, detectors, duplicate_flags
 from worklens.plans import views as reports
-from worklens.session import materialize
+from worklens.plans.stored import StoredView, fingerprint, is_stored, load_view, store_view
+from worklens.session import materialize, work_dir
 
 _TEXT_DATES = ("recommended_date", "sanction_date", "completion_date")
 _MONEY = ("sanction_amount", "recommended_amount", "amount_disbursed", "fund_disbursed_amount")
@@ -27,15 +28,12 @@ def _as_text(df: DataFrame) -> DataFrame:
 def project_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Project 360 over all seven sources."""
     costs = materialize(cost_flags(spark, sf_dir), "cost-flags")
-    anomalies = (
-        costs.where("anomaly_score > 0.1")
-        .select(
-            "project_id",
-            "cost_anomaly_flag",
-            F.col("anomaly_score").cast("decimal(12,6)").alias("cost_anomaly_score"),
-            F.col("anomaly_reason").alias("cost_anomaly_reason"),
-            F.lit("True").alias("cost_anomaly_available"),
-        )
+    anomalies = costs.select(
+        "project_id",
+        "cost_anomaly_flag",
+        F.col("anomaly_score").cast("decimal(12,6)").alias("cost_anomaly_score"),
+        F.col("anomaly_reason").alias("cost_anomaly_reason"),
+        F.lit("True").alias("cost_anomaly_available"),
     )
     merged = detectors(spark, sf_dir, costs).withColumn("cost_anomaly_score", F.col("cost_anomaly_score").cast("decimal(12,6)"))
     return reports.project_360(
@@ -45,30 +43,37 @@ def project_view(spark: SparkSession, sf_dir: str) -> DataFrame:
             "completed": _as_text(_with_work(views.completed(spark, sf_dir))),
             "expenditure": views.bare_payments(spark, sf_dir),
             "merged": merged,
-            "duplicates": duplicate_flags(spark, sf_dir).where("potential_duplicate_flag"),
+            "duplicates": duplicate_flags(spark, sf_dir),
             "anomalies": anomalies,
         }
     )
 
 
-_STORED: dict[tuple[str, str], DataFrame] = {}
+#: Tables that the project view is made from.
+_INPUTS = ("orders", "customer", "nation", "lineitem", "supplier")
+
+
+def stored(spark: SparkSession, sf_dir: str) -> StoredView:
+    """The project view as the reports read it.
+
+    It is kept in the session's shared folder under a digest of its input
+    files: written when there is none for these files, else read.
+    """
+    key = fingerprint(spark, [f"{sf_dir}/{name}.parquet" for name in _INPUTS])
+    path = f"{work_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}/project-view-{key}"
+    return load_view(spark, path) if is_stored(spark, path) else store_view(project_view(spark, sf_dir), path)
 
 
 def stored_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The project view as the reports read it: built and written once per application, sorted by project."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _STORED:
-        view = project_view(spark, sf_dir)
-        _STORED[key] = materialize(view.repartitionByRange("project_id").sortWithinPartitions("project_id"), "project-view")
-    return _STORED[key]
+    return stored(spark, sf_dir).view
 
 
 VIEW = {
     **DETECTORS,
     "sanc": "SELECT * FROM works WHERE stage <> 'P'",
     "comp": "SELECT w.*, c.completion_date, c.amount_disbursed FROM works w JOIN completions c USING (project_id)",
-    "dups": "SELECT * FROM dup WHERE potential_duplicate_flag = 1",
-    "anom": "SELECT * FROM cost WHERE cost_anomaly_score > 0.1",
+    "dups": "SELECT * FROM dup",
+    "anom": "SELECT * FROM cost",
     "view360": """
         SELECT r.project_id, r.work_category, r.project_id || '-' || r.work_type AS work, r.state, r.ida, r.mp_name, r.constituency,
                r.work_description, strftime(r.recommended_date, '%d-%b-%Y') AS recommended_date,
@@ -77,7 +82,7 @@ VIEW = {
                coalesce(s.work_status, '') AS work_status, coalesce(strftime(c.completion_date, '%d-%b-%Y'), '') AS completion_date,
                coalesce(c.amount_disbursed, 0) AS amount_disbursed, coalesce(t.total_expenditure, 0) AS fund_disbursed_amount,
                CASE WHEN d.project_id IS NULL THEN '' WHEN d.exact_duplicate_flag = 1 THEN 'true' ELSE 'false' END AS exact_duplicate_flag,
-               CASE WHEN d.project_id IS NULL THEN '' ELSE 'true' END AS potential_duplicate_flag,
+               CASE WHEN d.project_id IS NULL THEN '' WHEN d.potential_duplicate_flag = 1 THEN 'true' ELSE 'false' END AS potential_duplicate_flag,
                coalesce(d.duplicate_reason, '') AS duplicate_reason, coalesce(d.similar_project_id, '') AS similar_project_id,
                coalesce(CAST(a.cost_anomaly_flag AS VARCHAR), CAST(m.cost_anomaly_flag AS VARCHAR), '') AS cost_anomaly_flag,
                coalesce(CAST(CAST(coalesce(a.cost_anomaly_score, m.cost_anomaly_score) AS DECIMAL(12,6)) AS VARCHAR), '') AS cost_anomaly_score,
@@ -188,7 +193,8 @@ def risk_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 )
 def search_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = reports.search(stored_view(spark, sf_dir), " Nation_1 ", status="Work Completed", flags="duplicate")
+    """A text query through the substring index, with two facets."""
+    found = stored(spark, sf_dir).search(" Nation_1 ", status="Work Completed", flags="duplicate")
     return rounded(found.select("project_id", "state", "work_status", "sanction_amount"), "sanction_amount")
 
 
@@ -200,8 +206,39 @@ def search_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def search_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First page of a facet search."""
-    found = reports.search(stored_view(spark, sf_dir), state="NATION_3", flags="normal")
-    return reports.page(found).select("project_id", "state", "work_status")
+    view = stored(spark, sf_dir)
+    listed, _ = view.page(view.search(state="NATION_3", flags="normal"))
+    return listed.select("project_id", "state", "work_status")
+
+
+_NORMAL = "FROM flagged WHERE state = 'NATION_3' AND NOT is_anomaly AND NOT is_exact AND NOT is_potential"
+
+
+@query(
+    _sql(
+        f"""SELECT project_id, state, work_status, (SELECT count(*) {_NORMAL}) AS total {_NORMAL}
+           ORDER BY project_id LIMIT 5 OFFSET 10"""
+    )
+)
+def search_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The third page of five of a facet search, with the total."""
+    view = stored(spark, sf_dir)
+    listed, total = view.page(view.search(state="NATION_3", flags="normal"), 2, 5)
+    return listed.select("project_id", "state", "work_status", F.lit(total).cast("long").alias("total"))
+
+
+@query(_sql(f"SELECT project_id, state, work_status {_NORMAL} AND project_id > 'WS/MP3/2024-2025/3' ORDER BY project_id LIMIT 5"))
+def search_following(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page after a given project."""
+    view = stored(spark, sf_dir)
+    listed = view.following(view.search(state="NATION_3", flags="normal"), "WS/MP3/2024-2025/3", 5)
+    return listed.select("project_id", "state", "work_status")
+
+
+@query(_sql("SELECT project_id, work FROM flagged WHERE contains(lower(project_id), '/2024-2025/77') OR contains(lower(state), '/2024-2025/77') OR contains(lower(work_description), '/2024-2025/77') OR contains(lower(work), '/2024-2025/77')"))
+def search_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Projects that hold a text in any searched field."""
+    return stored(spark, sf_dir).search("/2024-2025/77").select("project_id", "work")
 
 
 @query(_sql("SELECT count(*) AS anomalies FROM flagged WHERE is_anomaly"))
@@ -227,6 +264,6 @@ def facets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 )
 def project_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = reports.project_detail(stored_view(spark, sf_dir), "WS/MP7/2024-2025/7")
+    found = stored(spark, sf_dir).detail("WS/MP7/2024-2025/7")
     columns = ("project_id", "work", "state", "disbursed_amount", "cost_anomaly", "duplicate_match")
     return rounded(found.select(*columns), "disbursed_amount")

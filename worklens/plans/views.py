@@ -14,6 +14,8 @@ from worklens.operators.shaping import existing, top
 
 PAGE = 200
 TOP = 6
+#: Columns that a text query looks into.
+SEARCHED = ("project_id", "state", "work_description", "work")
 
 # Labels of the dashboards.
 HIGH_RISK = "High risk"
@@ -262,7 +264,7 @@ def search(
             any_of(
                 *[
                     F.contains(F.lower(F.coalesce(c, F.lit(""))), F.lit(wanted))
-                    for c in ("project_id", "state", "work_description", "work")
+                    for c in SEARCHED
                 ]
             )
         )
