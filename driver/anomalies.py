@@ -270,28 +270,25 @@ def top_cost_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(oddest, "cost_anomaly_score", digits=6)
 
 
+_SCALED = forest.PATTERN_SPEC.numeric
+
+
 @query(
     views.with_views(
-        "works",
-        "payments",
-        "totals",
-        "completions",
-        "projects",
+        *_PROJECT_VIEWS,
         extra={
-            "x": f"""SELECT project_id, total_expenditure / sanction_amount AS a, total_expenditure / recommended_amount AS b
-                FROM projects WHERE total_expenditure IS NOT NULL""",
-            "s": "SELECT avg(a) AS ma, stddev_pop(a) AS sa, avg(b) AS mb, stddev_pop(b) AS sb FROM x",
+            "spent": _SPENT["spent"],
+            "filled": _SPENT["filled"],
+            "s": "SELECT " + ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in _SCALED) + " FROM filled",
         },
-        body="""
-        SELECT project_id, round((a - ma) / sa, 4) AS fund_utilization, round((b - mb) / sb, 4) AS expenditure_ratio FROM x, s""",
+        body="SELECT project_id, " + ", ".join(f"round(({c} - m_{c}) / CASE WHEN s_{c} > 0 THEN s_{c} ELSE 1 END, 4) AS {c}" for c in _SCALED) + " FROM filled, s",
     )
 )
 def standard_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spent = _features(spark, sf_dir).where("total_expenditure IS NOT NULL")
-    scaled, _ = forest.standard_scale(
-        spent.select("project_id", "fund_utilization", "expenditure_ratio"), ["fund_utilization", "expenditure_ratio"]
-    )
-    return rounded(scaled, "fund_utilization", "expenditure_ratio")
+    """All five spending features, missing ones as 0, on one scale."""
+    spent = _features(spark, sf_dir).where("total_expenditure IS NOT NULL").select("project_id", *_SCALED)
+    scaled, _ = forest.standard_scale(spent, _SCALED)
+    return rounded(scaled, *_SCALED)
 
 
 @query(

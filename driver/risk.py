@@ -14,8 +14,8 @@ from worklens.operators import fusion, outliers, quality
 from worklens.operators.lifecycle import expenditure_summary
 from worklens.operators.rules import FLAGS, RiskRules, flag_counts as count_flags, score_projects
 from worklens.operators.similarity import PROJECT_MODEL
-from worklens.plans.monitoring import run
-from worklens.session import materialize
+from worklens.plans.monitoring import Artefacts, MonitoringResult, run
+from worklens.session import materialize, new_path
 
 RULES = RiskRules(as_of=views.AS_OF, portal_launch=views.PORTAL_LAUNCH)
 
@@ -280,32 +280,49 @@ _WHOLE = {
 }
 
 
-@query(
-    views.with_views(
-        "works",
-        "payments",
-        "completions",
-        "totals",
-        extra=_WHOLE,
-        body="""
-        SELECT project_id, state, district, constituency, work_type, CAST(risk_score AS INTEGER) AS risk_score, risk_level,
-               CAST(delay_days AS INTEGER) AS delay_days, delay_flag, sanction_delay_flag, stalled_flag, pending_mark_flag, over_expenditure_flag,
-               invalid_date_flag, status_flag, low_amount_flag, cost_anomaly_flag, round(cost_anomaly_score, 6) AS cost_anomaly_score, cost_anomaly_available,
-               cost_anomaly_reason, exact_duplicate_flag, exact_group_id, exact_duplicate_count, potential_duplicate_flag, similarity_score, similar_project_id,
-               duplicate_reason, pre_portal_flag, awaiting_sanction_flag, round(spend_completion_ratio, 6) AS spend_completion_ratio, indicators,
-               CASE WHEN indicators <> '' THEN 'Flagged because: ' || indicators || '.'
-                    ELSE 'No rule-based irregularity flagged on available fields.' END AS explanation,
-               CASE WHEN awaiting_sanction_flag = 1 AND risk_score = 0 THEN 'Awaiting sanction — not yet applicable for execution risk.'
-                    WHEN risk_score >= 65 THEN 'Prioritize for human verification.'
-                    WHEN risk_score >= 35 THEN 'Review when resources allow.' ELSE 'Routine monitoring.' END AS recommended_action
-        FROM scored""",
-    )
+_RISK = views.with_views(
+    "works",
+    "payments",
+    "completions",
+    "totals",
+    extra=_WHOLE,
+    body="""
+    SELECT project_id, state, district, constituency, work_type, CAST(risk_score AS INTEGER) AS risk_score, risk_level,
+           CAST(delay_days AS INTEGER) AS delay_days, delay_flag, sanction_delay_flag, stalled_flag, pending_mark_flag, over_expenditure_flag,
+           invalid_date_flag, status_flag, low_amount_flag, cost_anomaly_flag, round(cost_anomaly_score, 6) AS cost_anomaly_score, cost_anomaly_available,
+           cost_anomaly_reason, exact_duplicate_flag, exact_group_id, exact_duplicate_count, potential_duplicate_flag, similarity_score, similar_project_id,
+           duplicate_reason, pre_portal_flag, awaiting_sanction_flag, round(spend_completion_ratio, 6) AS spend_completion_ratio, indicators,
+           CASE WHEN indicators <> '' THEN 'Flagged because: ' || indicators || '.'
+                ELSE 'No rule-based irregularity flagged on available fields.' END AS explanation,
+           CASE WHEN awaiting_sanction_flag = 1 AND risk_score = 0 THEN 'Awaiting sanction — not yet applicable for execution risk.'
+                WHEN risk_score >= 65 THEN 'Prioritize for human verification.'
+                WHEN risk_score >= 35 THEN 'Review when resources allow.' ELSE 'Routine monitoring.' END AS recommended_action
+    FROM scored""",
 )
+
+
+@query(_RISK)
 def risk_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """End to end: life-cycle tables, master, both detectors, merge, rules.
 
     Descriptions are whole documents, given to the works of the same number.
     """
+    return _explained(_whole_run(spark, sf_dir).risk)
+
+
+@query(_RISK)
+def risk_output_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same table from stored term weights and a stored forest of an earlier run."""
+    path = new_path(spark, "artefacts")
+    _whole_run(spark, sf_dir).artefacts.save(path)
+    return _explained(_whole_run(spark, sf_dir, artefacts=Artefacts.load(spark, path)).risk)
+
+
+def _explained(risk: DataFrame) -> DataFrame:
+    return rounded(risk, "cost_anomaly_score", "spend_completion_ratio", digits=6)
+
+
+def _whole_run(spark: SparkSession, sf_dir: str, **options) -> MonitoringResult:
     texts = views.table(spark, sf_dir, "documents").select(
         views.project_key("doc_id").alias("project_id"), F.col("text").alias("work_description")
     )
@@ -313,7 +330,7 @@ def risk_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     def with_texts(df: DataFrame) -> DataFrame:
         return df.drop("work_description").join(texts, "project_id", "left")
 
-    result = run(
+    return run(
         spark,
         cleaned={
             "recommended": views.recommended(spark, sf_dir),
@@ -323,5 +340,5 @@ def risk_output(spark: SparkSession, sf_dir: str) -> DataFrame:
         },
         rules=RULES,
         model=PROJECT_MODEL,
+        **options,
     )
-    return rounded(result.risk, "cost_anomaly_score", "spend_completion_ratio", digits=6)
