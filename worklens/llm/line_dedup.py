@@ -266,7 +266,8 @@ def without_repeated_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars:
     def counted(all_: Column) -> Column:
         return bound(kept(all_), lambda k: F.struct(F.size(all_).alias("n"), F.size(k).alias("left"), F.array_join(k, "\n").alias("text")))
 
-    out = rows.join(gone, "id", "left").select("row", bound(lines, counted).alias("kept"))
+    # One plan at every size: rows meet their hashes by a shuffle also where the hashes are few.
+    out = rows.join(gone.hint("merge"), "id", "left").select("row", bound(lines, counted).alias("kept"))
     return out.select(
         "row",
         F.col("kept.n").cast("long").alias("n_lines"),
