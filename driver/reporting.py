@@ -10,8 +10,9 @@ from driver.lifecycle import rounded
 from driver.registry import query
 from driver.risk import BASE, DETECTORS, cost_flags, detectors, duplicate_flags
 from worklens.plans import views as reports
+from worklens.plans.increments import create, load, update
 from worklens.plans.stored import StoredView, fingerprint, is_stored, load_view, store_view
-from worklens.session import materialize, work_dir
+from worklens.session import materialize, new_path, work_dir
 
 _TEXT_DATES = ("recommended_date", "sanction_date", "completion_date")
 _MONEY = ("sanction_amount", "recommended_amount", "amount_disbursed", "fund_disbursed_amount")
@@ -27,6 +28,10 @@ def _as_text(df: DataFrame) -> DataFrame:
 
 def project_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Project 360 over all seven sources."""
+    return reports.project_360(_sources(spark, sf_dir))
+
+
+def _sources(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     costs = materialize(cost_flags(spark, sf_dir), "cost-flags")
     anomalies = costs.select(
         "project_id",
@@ -36,17 +41,15 @@ def project_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("True").alias("cost_anomaly_available"),
     )
     merged = detectors(spark, sf_dir, costs).withColumn("cost_anomaly_score", F.col("cost_anomaly_score").cast("decimal(12,6)"))
-    return reports.project_360(
-        {
-            "recommended": _as_text(_with_work(views.recommended(spark, sf_dir))),
-            "sanctioned": _as_text(_with_work(views.sanctioned(spark, sf_dir))),
-            "completed": _as_text(_with_work(views.completed(spark, sf_dir))),
-            "expenditure": views.bare_payments(spark, sf_dir),
-            "merged": merged,
-            "duplicates": duplicate_flags(spark, sf_dir),
-            "anomalies": anomalies,
-        }
-    )
+    return {
+        "recommended": _as_text(_with_work(views.recommended(spark, sf_dir))),
+        "sanctioned": _as_text(_with_work(views.sanctioned(spark, sf_dir))),
+        "completed": _as_text(_with_work(views.completed(spark, sf_dir))),
+        "expenditure": views.bare_payments(spark, sf_dir),
+        "merged": merged,
+        "duplicates": duplicate_flags(spark, sf_dir),
+        "anomalies": anomalies,
+    }
 
 
 #: Tables that the project view is made from.
@@ -108,6 +111,18 @@ def project_360(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(project_view(spark, sf_dir), *_MONEY)
 
 
+@query(_sql(f"SELECT * REPLACE ({_ROUNDED}) FROM view360"))
+def project_360_updated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same view from a stored state of two thirds of all rows and two later exports."""
+    sources = {name: df.withColumn("_deal", F.pmod(F.xxhash64(*df.columns), F.lit(6))) for name, df in _sources(spark, sf_dir).items()}
+    part = lambda low, high: {name: df.where(F.col("_deal").between(low, high)).drop("_deal") for name, df in sources.items()}
+    path = new_path(spark, "project-state")
+    create(path, reports.project_state(part(0, 3)), "first")
+    for batch in (4, 5):
+        update(spark, path, reports.project_state(part(batch, batch)), f"batch {batch}")
+    return rounded(reports.view_of(load(spark, path)), *_MONEY)
+
+
 @query(
     _sql(
         """

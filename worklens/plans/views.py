@@ -107,8 +107,8 @@ def _rank(source: str) -> Column:
     return F.struct(F.col("_order").isNotNull().alias("known"), F.col("_order").alias("order"), F.xxhash64(source).alias("tie"))
 
 
-def project_360(sources: dict[str, DataFrame], order: str = "serial_no") -> DataFrame:
-    """One row per project seen in any of the seven sources.
+def project_state(sources: dict[str, DataFrame], order: str = "serial_no") -> DataFrame:
+    """What the project view is made from: each source's last row with its rank, and the payments, by project.
 
     Sources are text tables named as in ``SOURCE_FIELDS``; absent ones may be
     left out. All rows are stacked and grouped by project once: the last row of
@@ -130,12 +130,33 @@ def project_360(sources: dict[str, DataFrame], order: str = "serial_no") -> Data
         absent["_order"] = F.lit(None).cast("long")
     if absent:
         stacked = stacked.withColumns(absent)
-    grouped = stacked.groupBy("project_id").agg(
-        *[
-            F.max_by(name, F.when(F.col(name).isNotNull(), _rank(name))).alias(name)
-            for name in SOURCE_FIELDS
-        ],
-        F.coalesce(F.sum("fund_disbursed_amount"), F.lit(0.0)).alias("fund_disbursed_amount"),
+    kept = {name: F.when(F.col(name).isNotNull(), F.struct(_rank(name).alias("rank"), F.col(name).alias("row"))) for name in SOURCE_FIELDS}
+    return _last_rows(stacked.withColumns(kept))
+
+
+def _last_rows(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("project_id").agg(
+        *[F.max_by(name, F.col(f"{name}.rank")).alias(name) for name in SOURCE_FIELDS],
+        F.sum("fund_disbursed_amount").alias("fund_disbursed_amount"),
+    )
+
+
+def merged_states(*states: DataFrame) -> DataFrame:
+    """The state of all rows that went into the given states."""
+    return _last_rows(reduce(DataFrame.unionByName, states))
+
+
+def project_360(sources: dict[str, DataFrame], order: str = "serial_no") -> DataFrame:
+    """One row per project seen in any of the seven sources of ``project_state``."""
+    return view_of(project_state(sources, order))
+
+
+def view_of(state: DataFrame) -> DataFrame:
+    """The project view of a state."""
+    grouped = state.select(
+        "project_id",
+        *[F.col(f"{name}.row").alias(name) for name in SOURCE_FIELDS],
+        F.coalesce("fund_disbursed_amount", F.lit(0.0)).alias("fund_disbursed_amount"),
     )
 
     def pick(*paths: str) -> Column:
