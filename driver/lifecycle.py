@@ -213,7 +213,16 @@ def join_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.join_integrity(orders, lines)
 
 
-_PROFILED = ("total_expenditure", "completion_date", "amount_disbursed", "sanction_amount", "work_status")
+_LINEITEM = (
+    *("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"),
+    *("l_returnflag", "l_linestatus", "l_shipdate"),
+)
+_ORDERS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
+_PROFILED = (
+    *("serial_no", "project_id", "state", "district", "constituency", "mp_name", "ida", "work_category", "work_type", "work_description"),
+    *("recommended_date", "sanction_date", "recommended_amount", "sanction_amount", "work_status", "total_expenditure", "payment_count"),
+    *("latest_payment_date", "completion_date", "amount_disbursed", "cost_amount"),
+)
 
 
 @query(
@@ -237,15 +246,29 @@ def null_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     " UNION ALL ".join(
         f"""SELECT '{c}' AS "column", count({c}) AS non_null, count(DISTINCT {c}) AS distinct_values FROM lineitem"""
-        for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_returnflag")
+        for c in _LINEITEM
     )
 )
 def distinct_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.distinct_counts(
-        views.table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_partkey", "l_suppkey", "l_returnflag"]
+    return quality.distinct_counts(views.table(spark, sf_dir, "lineitem"), _LINEITEM)
+
+
+def _profile_sql(table: str, columns: tuple[str, ...]) -> str:
+    return " UNION ALL ".join(
+        f"""SELECT '{table}' AS "table", '{c}' AS "column", (SELECT count(*) FROM {table}) AS rows, (SELECT count(*) FROM {table} WHERE {c} IS NULL) AS nulls,
+            (SELECT count(DISTINCT {c}) FROM {table}) AS distinct_values, (SELECT coalesce(string_agg(v || ' (' || n || ')', ', ' ORDER BY n DESC, v), '') FROM (
+            SELECT CAST({c} AS VARCHAR) AS v, count(*) AS n FROM {table} WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY n DESC, v LIMIT 3)) AS top_values"""
+        for c in columns
     )
 
 
+@query(_profile_sql("lineitem", _LINEITEM) + " UNION ALL " + _profile_sql("orders", _ORDERS))
+def column_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every column of two tables."""
+    parts = [quality.profile(views.table(spark, sf_dir, name)).select(F.lit(name).alias("table"), "*") for name in ("lineitem", "orders")]
+    return parts[0].unionByName(parts[1])
+
+
 def _describe_sql(columns: tuple[str, ...], source: str) -> str:
     return " UNION ALL ".join(
         f"""SELECT '{c}' AS "column", count({c}) AS "count", round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std,
@@ -256,7 +279,7 @@ def _describe_sql(columns: tuple[str, ...], source: str) -> str:
     )
 
 
-_DESCRIBED = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+_DESCRIBED = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
 
 
 @query(_describe_sql(_DESCRIBED, "lineitem"))

@@ -7,9 +7,11 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from worklens.operators.percentiles import counted_values, moments_of, percentiles_of
 from worklens.operators.shaping import with_row
+from worklens.session import materialize
 
 
 def null_profile(df: DataFrame, top: int | None = None) -> DataFrame:
@@ -48,6 +50,27 @@ def distinct_counts(df: DataFrame, columns: Sequence[str], approximate: bool = F
     )
 
 
+def profile(df: DataFrame, leading: int = 3, shown: int = 64) -> DataFrame:
+    """(column, rows, nulls, distinct_values, top_values) of every column of any table.
+
+    Values of all columns are counted together, so a frequent one is summed
+    before it travels, and long ones travel as their first ``shown`` characters
+    and a digest. ``top_values`` names the most frequent ones with their
+    counts, ties by value.
+    """
+    long = df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in df.columns]).unpivot([], [f"`{c}`" for c in df.columns], "column", "_v")
+    rest = F.when(F.length("_v") > shown, F.xxhash64("_v"))
+    counted = materialize(long.groupBy("column", F.left("_v", F.lit(shown)).alias("_v"), rest.alias("_rest")).agg(F.count(F.lit(1)).alias("_n")), "column-values")
+    facts = counted.groupBy("column").agg(
+        F.sum("_n").alias("rows"), F.sum(F.when(F.col("_v").isNull(), F.col("_n")).otherwise(0)).alias("nulls"), F.count("_v").alias("distinct_values")
+    )
+    order = W.partitionBy("column").orderBy(F.desc("_n"), "_v", "_rest")
+    first = counted.where("_v IS NOT NULL").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= leading)
+    named = F.transform(F.sort_array(F.collect_list(F.struct("_r", "_v", "_n"))), lambda x: F.concat(x["_v"], F.lit(" ("), x["_n"].cast("string"), F.lit(")")))
+    most = first.groupBy("column").agg(F.array_join(named, ", ").alias("top_values"))
+    return facts.join(most, "column", "left").select("column", "rows", "nulls", "distinct_values", F.coalesce("top_values", F.lit("")).alias("top_values"))
+
+
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, count, mean, std, min, p25, p50, p75, max) with exact percentiles, from one scan."""
     long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], list(columns), "column", "_v")
