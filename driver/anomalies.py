@@ -170,12 +170,12 @@ def payment_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped_statistics(_totals(spark, sf_dir), [], "payment_count", {"payment_threshold": 0.95})
 
 
-def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
+def features_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return add_features(views.projects(spark, sf_dir), views.AS_OF)
 
 
 #: Spending features of projects with payments, missing ones as 0, and the detector's reasons.
-_SPENT = {
+SPENT = {
     "spent": f"""SELECT project_id, payment_count, total_expenditure, total_expenditure / nullif(sanction_amount, 0) AS fund_utilization,
         total_expenditure / nullif(recommended_amount, 0) AS expenditure_ratio,
         date_diff('day', sanction_date, DATE '{views.AS_OF}') AS project_age_days,
@@ -190,19 +190,19 @@ _SPENT = {
         CASE WHEN payment_count > many THEN 'Unusually high number of payments' END) AS reasons FROM spent s JOIN decided d USING (project_id), many""",
     "patterns": """SELECT *, CASE WHEN reasons = '' THEN 'Detected by Isolation Forest pattern analysis' ELSE reasons END AS anomaly_reason FROM told""",
 }
-_PROJECT_VIEWS = ("works", "payments", "totals", "completions", "projects")
+PROJECT_VIEWS = ("works", "payments", "totals", "completions", "projects")
 
 
 @query(
     views.with_views(
-        *_PROJECT_VIEWS,
-        extra=_SPENT,
+        *PROJECT_VIEWS,
+        extra=SPENT,
         body="SELECT project_id, forest_flag AS cost_anomaly_flag, round(decision, 6) AS anomaly_score, anomaly_reason FROM patterns",
     )
 )
 def iforest_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Isolation forest over the spending features."""
-    result, _ = forest.detect_spending_patterns(_features(spark, sf_dir))
+    result, _ = forest.detect_spending_patterns(features_of(spark, sf_dir))
     return rounded(
         result.select("project_id", "cost_anomaly_flag", "anomaly_score", "anomaly_reason"), "anomaly_score", digits=6
     )
@@ -210,8 +210,8 @@ def iforest_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     views.with_views(
-        *_PROJECT_VIEWS,
-        extra=_SPENT,
+        *PROJECT_VIEWS,
+        extra=SPENT,
         body="""
         SELECT project_id, round(fund_utilization, 6) AS fund_utilization, round(expenditure_ratio, 6) AS expenditure_ratio, payment_count,
                project_age_days, over_budget, round(decision, 6) AS anomaly_score, anomaly_reason
@@ -220,7 +220,7 @@ def iforest_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def iforest_most_anomalous(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten oddest flagged projects."""
-    result, _ = forest.detect_spending_patterns(_features(spark, sf_dir))
+    result, _ = forest.detect_spending_patterns(features_of(spark, sf_dir))
     flagged = result.where("cost_anomaly_flag = 1").select(
         "project_id", *forest.PATTERN_SPEC.numeric, "anomaly_score", "anomaly_reason"
     )
@@ -275,10 +275,10 @@ _SCALED = forest.PATTERN_SPEC.numeric
 
 @query(
     views.with_views(
-        *_PROJECT_VIEWS,
+        *PROJECT_VIEWS,
         extra={
-            "spent": _SPENT["spent"],
-            "filled": _SPENT["filled"],
+            "spent": SPENT["spent"],
+            "filled": SPENT["filled"],
             "s": "SELECT " + ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in _SCALED) + " FROM filled",
         },
         body="SELECT project_id, " + ", ".join(f"round(({c} - m_{c}) / CASE WHEN s_{c} > 0 THEN s_{c} ELSE 1 END, 4) AS {c}" for c in _SCALED) + " FROM filled, s",
@@ -286,7 +286,7 @@ _SCALED = forest.PATTERN_SPEC.numeric
 )
 def standard_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All five spending features, missing ones as 0, on one scale."""
-    spent = _features(spark, sf_dir).where("total_expenditure IS NOT NULL").select("project_id", *_SCALED)
+    spent = features_of(spark, sf_dir).where("total_expenditure IS NOT NULL").select("project_id", *_SCALED)
     scaled, _ = forest.standard_scale(spent, _SCALED)
     return rounded(scaled, *_SCALED)
 
@@ -344,5 +344,5 @@ def cost_detector_peers(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def spending_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reason text of every project with payments, flagged or not."""
-    result, _ = forest.detect_spending_patterns(_features(spark, sf_dir))
+    result, _ = forest.detect_spending_patterns(features_of(spark, sf_dir))
     return result.select("project_id", "anomaly_reason")

@@ -6,14 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driver import views
-from driver.anomalies import COST_ANOMALIES
+from driver.anomalies import COST_ANOMALIES, PROJECT_VIEWS, SPENT, features_of
 from driver.lifecycle import SIDES, rounded
 from driver.registry import query
-from driver.text import rollup_sql
+from driver.text import CORPUS, rollup_sql
 from worklens.operators import fusion, outliers, quality
+from worklens.operators.forest import detect_spending_patterns
 from worklens.operators.lifecycle import expenditure_summary
 from worklens.operators.rules import FLAGS, RiskRules, flag_counts as count_flags, score_projects
-from worklens.operators.similarity import PROJECT_MODEL
+from worklens.operators.shaping import top
+from worklens.operators.similarity import PROJECT_MODEL, similar_texts
 from worklens.plans.monitoring import Artefacts, MonitoringResult, run
 from worklens.session import materialize, new_path
 
@@ -249,6 +251,52 @@ def ml_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.fuse_detectors(forest, z, iqr, fusion.best_similarity(pairs))
 
 
+_LEVELLED = """SELECT *, CASE WHEN ml_risk_score >= 80 THEN 'Critical' WHEN ml_risk_score >= 50 THEN 'High'
+    WHEN ml_risk_score >= 20 THEN 'Medium' WHEN ml_risk_score > 0 THEN 'Low' ELSE 'Normal' END AS ml_risk_level FROM s"""
+_FUSED = {
+    **SPENT,
+    **rollup_sql(CORPUS, "lang", "lang"),
+    "fence": DETECTORS["fence"],
+    "zs": "SELECT avg(total_expenditure) AS m, stddev_pop(total_expenditure) AS sd FROM totals",
+    "z": "SELECT project_id FROM totals, zs WHERE abs((total_expenditure - m) / sd) > 3",
+    "iqr": "SELECT project_id FROM totals, fence WHERE total_expenditure > upper",
+    "sim": """SELECT 'WS/MP' || doc_id || '/2024-2025/' || doc_id AS project_id, max(score) AS similarity_score
+        FROM matches WHERE other > doc_id GROUP BY doc_id""",
+    "f": f"""SELECT c.project_id, c.forest_flag AS isolation_forest_flag, round(c.decision, 6) AS anomaly_score, c.anomaly_reason,
+        {_b('z.project_id IS NOT NULL')} AS zscore_flag, {_b('iqr.project_id IS NOT NULL')} AS iqr_flag,
+        {_b('sim.project_id IS NOT NULL')} AS duplicate_flag, round(coalesce(sim.similarity_score, 0), 4) AS similarity_score
+        FROM patterns c LEFT JOIN z ON c.project_id = z.project_id LEFT JOIN iqr ON c.project_id = iqr.project_id
+        LEFT JOIN sim ON c.project_id = sim.project_id""",
+    "s": """SELECT *, CAST(least(greatest(isolation_forest_flag * 40 + zscore_flag * 25 + iqr_flag * 20 + duplicate_flag * 15, 0), 100) AS INTEGER)
+        AS ml_risk_score FROM f""",
+}
+
+
+def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weighted machine score from the forest, both total tests and the similar descriptions themselves."""
+    patterns, _ = detect_spending_patterns(features_of(spark, sf_dir))
+    _, z, iqr = _fusion_inputs(spark, sf_dir)
+    described = views.described(spark, sf_dir).withColumn("project_id", views.project_key("serial_no"))
+    found = similar_texts(described, "project_id", "serial_no", "work_description", CORPUS)
+    return rounded(rounded(fusion.fuse_detectors(patterns, z, iqr, fusion.similarity_of_rows(found)), "anomaly_score", digits=6), "similarity_score")
+
+
+@query(views.with_views(*PROJECT_VIEWS, extra=_FUSED, body=_LEVELLED))
+def ml_fusion_detectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The machine score over real detector output, copies included."""
+    return _fused(spark, sf_dir)
+
+
+@query(
+    views.with_views(
+        *PROJECT_VIEWS, extra=_FUSED, body=f"SELECT project_id, ml_risk_score, ml_risk_level, anomaly_score FROM ({_LEVELLED}) ORDER BY ml_risk_score DESC, project_id LIMIT 20"
+    )
+)
+def top_ml_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 projects with the highest machine score."""
+    return top(_fused(spark, sf_dir), 20, "ml_risk_score").select("project_id", "ml_risk_score", "ml_risk_level", "anomaly_score")
+
+
 _FILLED = "CASE WHEN length(trim({0})) > 0 THEN {0} ELSE '__missing__' END"
 _PROJECT_BLOCK = "coalesce('=' || state, '?') || chr(1) || coalesce('=' || work_type, '?')"
 _CONSTITUENCY = "coalesce('=' || state, '?') || chr(1) || coalesce('=' || constituency, '?')"
