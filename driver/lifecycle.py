@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from driver import views
 from driver.registry import query
-from worklens.operators import quality
+from worklens.operators import constraints, quality
 from worklens.operators.features import add_features
 from worklens.operators.lifecycle import build_master, expenditure_summary as summarize
 from worklens.operators.shaping import duplicate_keys, first_per_key, last_per_key, top
@@ -351,3 +351,34 @@ def preview(spark: SparkSession, sf_dir: str) -> DataFrame:
 def top_expenditure(spark: SparkSession, sf_dir: str) -> DataFrame:
     totals = summarize(views.bare_payments(spark, sf_dir), date=None)
     return rounded(top(totals, 20, "total_expenditure").select("project_id", "total_expenditure"), "total_expenditure")
+
+
+#: Conditions that some payments break.
+_PAYMENT_RULES = {
+    "amount under 90,000": "fund_disbursed_amount < 90000",
+    "paid after 1992": "expenditure_date >= DATE '1993-01-01'",
+    "a returned line is final": "NOT (work_type = 'R' AND line_status <> 'F')",
+}
+
+
+@query(
+    views.with_views(
+        "payments",
+        body=" UNION ALL ".join(
+            f"""SELECT '{name}' AS "constraint", project_id AS "key", count(*) AS rows FROM payments WHERE NOT coalesce({sql}, FALSE) GROUP BY project_id"""
+            for name, sql in _PAYMENT_RULES.items()
+        )
+        + """ UNION ALL SELECT 'unique project_id', project_id, count(*) FROM payments WHERE project_id IS NOT NULL GROUP BY project_id HAVING count(*) > 1""",
+    )
+)
+def violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Projects whose payments break a rule or share a key."""
+    lines = views.table(spark, sf_dir, "lineitem")
+    paid = lines.select(
+        views.project_key("l_orderkey").alias("project_id"),
+        F.col("l_shipdate").cast("date").alias("expenditure_date"),
+        (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("fund_disbursed_amount"),
+        F.col("l_returnflag").alias("work_type"),
+        F.col("l_linestatus").alias("line_status"),
+    )
+    return constraints.all_violations(constraints.violations(paid, "project_id", _PAYMENT_RULES), constraints.repeated(paid, "project_id"))
