@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from worklens.plans import views
-from worklens.plans.stored import is_stored, load_view, store_view
+from worklens.plans.stored import _gram_lists, is_stored, load_view, store_view
 
 
 @pytest.fixture(scope="module")
@@ -67,3 +67,13 @@ def test_one_project_opens_one_shelf(stored):
     assert ids(found) == ["WS/MP77/2024-2025/77"] and found.first()["disbursed_amount"] == 3.0
     assert len(found.inputFiles()) <= 9 and "PartitionFilters" in found._jdf.queryExecution().executedPlan().toString()
     assert stored.detail("none such").isEmpty()
+
+
+def test_grams_are_not_shuffled(view, stored):
+    lists = _gram_lists(stored.rows, 9)
+    plan = lists._jdf.queryExecution().executedPlan().toString()
+    # The one exchange deals rows by shelf; grams are made and grouped above it.
+    assert plan.count("Exchange") == 1 and plan.index("Generate") < plan.index("Exchange")
+    held = {(r["gram"], r["shelf"]): r["places"] for r in lists.collect()}
+    assert held == {(r["gram"], r["shelf"]): r["places"] for r in stored.index.collect()}
+    assert all(places == sorted(set(places)) for places in held.values())
