@@ -77,3 +77,25 @@ def test_grams_are_not_shuffled(view, stored):
     held = {(r["gram"], r["shelf"]): r["places"] for r in lists.collect()}
     assert held == {(r["gram"], r["shelf"]): r["places"] for r in stored.index.collect()}
     assert all(places == sorted(set(places)) for places in held.values())
+
+
+def test_index_is_made_piece_by_piece(view, stored, monkeypatch):
+    monkeypatch.setattr("worklens.plans.stored.PIECE", 10)
+    monkeypatch.setattr("worklens.plans.stored.PIECE_BYTES", 300)
+    lists = _gram_lists(stored.rows, 3)
+    plan = lists._jdf.queryExecution().executedPlan().toString()
+    # Grams leave the worker as lists: rows of one gram are neither grouped nor sorted by Spark.
+    assert "MapInArrow" in plan and "HashAggregate" not in plan
+    got, pieces = {}, lists.collect()
+    for r in pieces:
+        assert r["places"][0] // 10 == r["places"][-1] // 10
+        got.setdefault((r["gram"], r["shelf"]), []).extend(r["places"])
+    assert len(pieces) > len(got)
+    assert {k: sorted(v) for k, v in got.items()} == {(r["gram"], r["shelf"]): r["places"] for r in stored.index.collect()}
+    wanted = {}
+    for r in stored.rows.collect():
+        for c in views.SEARCHED:
+            text = (r[c] or "").lower()
+            for i in range(len(text) - 2):
+                wanted.setdefault((text[i : i + 3], r["shelf"]), set()).add(r["place"])
+    assert {k: set(v) for k, v in got.items()} == wanted
