@@ -97,3 +97,14 @@ def test_approximate_distinct_counts(spark):
         for r in quality.distinct_counts(df, ["a", "b"], approximate=True).collect()
     }
     assert exact == sketch == {"a": (2, 2), "b": (2, 1)}
+
+
+def test_state_sorts_by_a_number_before_the_text_key(spark):
+    """Project ids share their first bytes, so sorting by them alone compares whole rows."""
+    rows = [(f" ws/ MP{i % 50}/2024-2025/{i % 50}" if i % 7 else " \u00a0\t", i, f"w{i}") for i in range(200)]
+    state = views.project_state({"sanctioned": spark.createDataFrame(rows, "work string, serial_no long, state string")})
+    plan = state._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(_" in plan and "xxhash64(project_id" in plan and "max_by" not in plan
+    got = {r["project_id"]: r["sanctioned"]["row"]["state"] for r in state.collect()}
+    last = {i % 50: f"w{i}" for i in range(200) if i % 7}
+    assert got == {f"ws/MP{k}/2024-2025/{k}": v for k, v in last.items()}
